@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import packing
+from tallyforge.llm import packing, pii
 from tallyforge.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(read(spark, sf_dir, "documents")))
