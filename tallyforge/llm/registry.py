@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import packing, pii
+from tallyforge.llm import langid, packing, pii, toxicity
+from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(read(spark, sf_dir, "documents")))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(docs.doc_id)))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score", "bits_per_symbol")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(labels.doc_id)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "score", "predicted", "offending")
