@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import langid, packing, pii, toxicity
+from tallyforge.llm import langid, neardup, packing, pii, toxicity
 from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
@@ -48,3 +48,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(~held_out(labels.doc_id)))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "score", "predicted", "offending")
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
