@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import langid, neardup, packing, pii, toxicity
+from tallyforge.llm import langid, neardup, packing, pii, toxicity, vectors
 from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
@@ -53,3 +53,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op4_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    return vectors.nearest_neighbours(table, table.where("vec_id % 50 = 0"))
