@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import langid, neardup, packing, pii, toxicity, vectors
+from tallyforge.llm import langid, neardup, packing, pii, shards, toxicity, vectors
 from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
@@ -64,3 +64,9 @@ def op4_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings")
     return vectors.nearest_neighbours(table, table.where("vec_id % 50 = 0"))
+
+
+@query
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return shards.write_training_order(docs, tokenizer_path(), shards.shard_folder(docs))
