@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import langid, neardup, packing, pii, shards, toxicity, vectors
+from tallyforge.llm import langid, neardup, packing, pieces, pii, shards, toxicity, vectors
 from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
@@ -70,3 +70,8 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return shards.write_training_order(docs, tokenizer_path(), shards.shard_folder(docs))
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3, with_ids=False)
