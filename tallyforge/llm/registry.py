@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import langid, neardup, packing, pieces, pii, shards, toxicity, vectors
+from tallyforge.llm import langid, neardup, packing, pieces, pii, secrets, shards, toxicity, vectors
 from tallyforge.llm.common import held_out
 from tallyforge.llm.tokens import tokenizer_path
 
@@ -75,3 +75,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segment(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3, with_ids=False)
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()))
+    hits = F.filter("findings", lambda f: f["secret"])
+    place = F.transform(hits, lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string")))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.concat_ws(",", place).alias("spans"))
