@@ -1 +1 @@
-"""tallyforge.plans"""
+"""Registered queries and their SQL."""

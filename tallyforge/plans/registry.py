@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-from tallyforge.sources.tables import table
+from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,19 +23,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-@query(
-    """
-    WITH w AS (SELECT o_custkey AS player, o_orderkey, o_totalprice AS points,
-                      SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS total FROM orders),
-         last AS (SELECT player, COUNT(*) AS events, ROUND(MAX_BY(total, o_orderkey), 2) AS total FROM w GROUP BY player)
-    SELECT player, events, total FROM last
-    """
-)
-def pipeline_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals per player, last row kept."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    run = o.withColumn("total", F.sum("o_totalprice").over(w))
-    return run.groupBy(F.col("o_custkey").alias("player")).agg(
-        F.count("*").alias("events"), F.round(F.max_by("total", "o_orderkey"), 2).alias("total")
-    )
+def load() -> None:
+    """Import the modules that register queries."""
+    from tallyforge.plans import naming, scoring, voting  # noqa: F401
+
+
