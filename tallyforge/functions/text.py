@@ -132,7 +132,7 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(mine)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(mine, (c for c, u in zip(b, used) if u))) / 2
+    moved = sum(x != y for x, y in zip(mine, (c for c, u in zip(b, used) if u))) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
