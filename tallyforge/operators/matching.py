@@ -180,13 +180,13 @@ def single_race_outliers(rows: DataFrame) -> DataFrame:
 
     rows: race_class, race_index (gapless), label.
     """
-    seen = rows.select("race_class", "race_index", "label").distinct()
-    lone = seen.groupBy("race_class", "label").agg(F.count("*").alias("n"), F.min("race_index").alias("at")).where("n = 1")
-    here = seen.select("race_class", F.col("race_index").alias("i"), F.col("label").alias("other"))
-    bridge = here.withColumn("at", F.col("i") + 1).select("race_class", "at", "other").intersect(here.withColumn("at", F.col("i") - 1).select("race_class", "at", "other"))
-    absent = bridge.join(here.select("race_class", F.col("i").alias("at"), "other"), ["race_class", "at", "other"], "left_anti")
-    one = absent.groupBy("race_class", "at").agg(F.count("*").alias("n"), F.min("other").alias("to")).where("n = 1").drop("n")
-    return lone.drop("n").join(one, ["race_class", "at"]).select("race_class", "label", F.col("at").alias("race_index"), "to")
+    w = Window.partitionBy("race_class").orderBy("race_index")
+    sets = rows.groupBy("race_class", "race_index").agg(F.collect_set("label").alias("labels"))
+    bridge = F.array_except(F.array_intersect(F.lag("labels").over(w), F.lead("labels").over(w)), "labels")
+    # everything is clustered by source: the counts of labels need no further shuffle
+    seen = sets.withColumn("bridge", bridge).select("race_class", "race_index", "bridge", F.explode("labels").alias("label"))
+    lone = seen.withColumn("n", F.count("*").over(Window.partitionBy("race_class", "label"))).where((F.col("n") == 1) & (F.size("bridge") == 1))
+    return lone.select("race_class", "label", "race_index", F.element_at("bridge", 1).alias("to"))
 
 
 def link_identities(rows: DataFrame, least: float = 0.72) -> DataFrame:
