@@ -1,0 +1,33 @@
+"""The pipeline, stage by stage, against brute force on the small table."""
+
+import re
+
+import corpus_pipeline as cp
+from tallyforge.llm.common import DOCUMENT_COLUMNS
+from tests.llm.test_neardup import roots
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "language", "near_duplicates", "secrets", "packing"]
+    by = dict(cp.STAGES)
+    for name in ("toxicity", "language", "near_duplicates", "secrets"):
+        assert tuple(by[name](spark, docs, SF).columns) == DOCUMENT_COLUMNS
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in by["toxicity"](spark, docs, SF).collect()}
+    clean = [i for i, y in labels.items() if y == 0]
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+    spoken = by["language"](spark, docs, SF).count()
+    assert spoken >= 0.98 * docs.where("text rlike '[a-z]'").count()
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    want = {i for i, c in roots(ids, links).items() if i == c}
+    assert {r.doc_id for r in by["near_duplicates"](spark, docs, SF).collect()} == want
+    packed = cp.run(spark, SF).collect()
+    assert packed and max(r.offset + r.length for r in packed) <= 2048
