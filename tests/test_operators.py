@@ -161,3 +161,16 @@ def test_file_sources(spark, tmp_path):
     src.overwrite_sources(df, str(tmp_path / "o"))
     src.overwrite_sources(spark.createDataFrame([("w", 3)], "race_class string, n int"), str(tmp_path / "o"))
     assert {(r.race_class, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {("v", 1), ("w", 3)}
+
+
+def test_name_votes_and_links():
+    from tallyforge.operators import names as N
+
+    got = N.clustered_vote([("Anna", 60.0), ("Anma", 70.0), ("  ", 99.0), ("Zoe", 40.0)])
+    assert got == {"name": "Anma", "confidence": 65.0, "flags": ""}
+    assert N.clustered_vote([]) == {"name": "", "confidence": 0.0, "flags": ""} and N.clustered_vote([("A§", 10.0)])["flags"] == "unknown_chars;low_name_confidence"
+    assert N.canonical_name(["bonno", "bonno", "bono", None]) == "bonno" and N.canonical_name([]) == ""
+    assert N.candidate_score(" ", 50) == float("-inf") and N.candidate_score("Anna", 50) == 50 + 30 + 16 + 9 + 6
+    pdf = pd.DataFrame({"race_id": [1, 1, 2, 2, 3], "position": [1, 2, 1, 2, 1], "name": ["anna", "bert", "bert", "ana", "bertt"], "character": [1, 2, 2, 1, 2]})
+    assert N.assign_placeholders(pdf)["placeholder"].tolist() == [1, 2, 2, 1, 2]
+    assert N.chain_order(np.array([5.0, 9.0]), np.array([9.0, 5.0])) == [1, 0]
