@@ -42,20 +42,21 @@ class Model:
 def _learn(bags: list[tuple[int, np.ndarray, np.ndarray]], steps: int, rate: float, decay: float) -> Model:
     """Gradient ascent on the likelihood of the document labels. bags: label, sentence sizes, features sentence by sentence."""
     label = np.array([y for y, _, _ in bags], float)
-    doc = np.repeat(np.arange(len(bags)), [len(s) for _, s, _ in bags])
-    size = np.concatenate([s for _, s, _ in bags]).astype(np.int64)
-    feat = np.concatenate([f for _, _, f in bags]).astype(np.int64)
-    sent = np.repeat(np.arange(len(size)), size)
     # a feature counts once in a sentence, and only if two toxic documents have it, and twice as often as the others do
-    pair = np.unique(sent * (1 << BITS) + feat)
+    toxic, clean = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for y, _, f in bags:
+        (toxic if y else clean)[np.unique(f)] += 1
+    wanted = (toxic >= 2) & ((toxic + 0.5) / (label.sum() + 1) >= 2 * (clean + 0.5) / ((1 - label).sum() + 1))
+    doc = np.repeat(np.arange(len(bags)), [len(s) for _, s, _ in bags])
+    pairs, before = [], 0
+    for _, s, f in bags:
+        hit = wanted[f]
+        pairs.append(np.unique((np.repeat(np.arange(len(s)), s)[hit] + before) * (1 << BITS) + f[hit]))
+        before += len(s)
+    pair = np.concatenate(pairs)
     sent, feat = pair >> BITS, pair & (1 << BITS) - 1
-    held = np.unique(doc[sent] * (1 << BITS) + feat)
-    of, held = label[held >> BITS] > 0, held & (1 << BITS) - 1
-    toxic, clean = (np.bincount(held[x], minlength=1 << BITS) for x in (of, ~of))
-    keep = ((toxic >= 2) & ((toxic + 0.5) / (label.sum() + 1) >= 2 * (clean + 0.5) / ((1 - label).sum() + 1)))[feat]
-    sent, feat = sent[keep], feat[keep]
     used, feat = np.unique(feat, return_inverse=True)
-    n_sent, n_doc = len(size), len(bags)
+    n_sent, n_doc = before, len(bags)
     w, b = np.zeros(len(used)), float(np.log(1e-3))
     gw, gb = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
@@ -98,8 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 feats.append(np.array([f for x in own for f in x], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], names=["label", "sizes", "feats"])
 
-    got = map_batches(bags, read, "label int, sizes binary, feats binary").collect()  # a bounded sample
-    rows = sorted((r["label"], bytes(r["sizes"]), bytes(r["feats"])) for r in got)
+    got = map_batches(bags, read, "label int, sizes binary, feats binary").toArrow()  # a bounded sample
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("label", "sizes", "feats"))))
     if len({y for y, _, _ in rows}) < 2:
         return None
     return _learn([(y, np.frombuffer(s, "<i4"), np.frombuffer(f, "<i4")) for y, s, f in rows], steps, rate, decay)
