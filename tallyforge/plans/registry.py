@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tallyforge.plans import comparing, identities, matching, naming, scoring, sequencing, voting  # noqa: F401
+    from tallyforge.plans import comparing, filing, identities, matching, naming, scoring, sequencing, voting  # noqa: F401
 
 
