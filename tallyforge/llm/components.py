@@ -13,19 +13,18 @@ def components(links: DataFrame) -> DataFrame:
     Each step groups by an id with a partial minimum and joins the minimum back, so a node with very many links is summed before
     the shuffle and its rows can be split by the engine. Rounds grow with the logarithm of a component's size.
     """
-    pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = durable(pairs, "edges"), None
+    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        stats = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (stats["n"], stats["h"]) == before or not stats["n"]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        before = (stats["n"], stats["h"])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = durable(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = durable(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "edges")
+        # done when all that is left are stars: no id has two smaller neighbours, or one above and one below it
+        roles = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        knots = roles.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+        if knots.isEmpty():
+            break
+    centres = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge.llm.common import byte_rows, durable, map_batches
 from tallyforge.llm.components import components
 
+#: How many other centres a further round draws in a bucket that still holds several components.
+CENTRES = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be divided out again
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -177,22 +179,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     banded = nodes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", F.col("a").alias("centre"))
     buckets = durable(banded.join(shared, "band").distinct(), "buckets")
+    # only texts that share a bucket are compared: they are taken out once, however many rounds follow
+    own = docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    own = durable(own, "texts")
     spans = lambda df, b: df.select(F.col("rep").alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     tried = durable(spans(buckets, "centre"), "pairs")
-    links = durable(confirm(docs, tried, width, percent), "links")
+    links = durable(confirm(own, tried, width, percent), "links")
     labels = durable(components(links), "labels")
     turn = 1
     while True:
         now = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-        other = F.struct(F.xxhash64(F.lit(turn), "band", "rep").alias("h"), "rep", "own")
-        mixed = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min(other).alias("c")).where("lo < hi")
-        star = now.join(mixed, "band").where(F.col("own") != F.col("c.own")).select("rep", F.col("c.rep").alias("centre"))
+        others = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "band", "rep").alias("h"), "rep", "own")) for k in range(CENTRES)]
+        mixed = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.array(*others).alias("cs")).where("lo < hi")
+        star = now.join(mixed.select("band", "cs"), "band").select("rep", "own", F.explode("cs").alias("c")).where(F.col("own") != F.col("c.own")).select("rep", F.col("c.rep").alias("centre"))
         pairs = star.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         seen = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = durable(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
-        found = durable(confirm(docs, fresh, width, percent), "links")
+        found = durable(confirm(own, fresh, width, percent), "links")
         if found.isEmpty():
             break
         links, tried = links.unionByName(found), tried.unionByName(fresh)
