@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of one Arrow batch; long texts then stay within a Python worker's memory.
 BATCH_ROWS = 512
+#: And its bytes: the vectorised operators need some tens of bytes for each byte of a batch. One longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,8 +44,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Texts go to Python in batches of few rows, so that memory follows the longest texts and not their number."""
+    """Texts go to Python in small batches, so that memory follows the longest text and not their number."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
