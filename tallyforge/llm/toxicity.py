@@ -79,15 +79,17 @@ def _learn(bags: list[tuple[int, np.ndarray, np.ndarray]], steps: int, rate: flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows_per_label: int = 3000, steps: int = 300, rate: float = 0.5, decay: float = 0.05) -> Model | None:
     """Learn from the whole texts of about `rows_per_label` labelled rows of either label, chosen by a hash: a documented bound.
 
-    Rows without text or with another label than 0 and 1 are left out; repeated rows count as often as they occur. None if a
-    label has no row.
+    Rows without text or with another label than 0 and 1 are left out; a document counts once for each of its labels. None
+    if a label has no row.
     """
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).alias("label"))
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     rare = lambda y: keep_fraction(F.col("key").cast("string"), min(1.0, rows_per_label / counts[y]))
-    marks = marks.where(F.when(F.col("label") == 1, rare(1)).otherwise(rare(0)))
+    marks = marks.where(F.when(F.col("label") == 1, rare(1)).otherwise(rare(0))).distinct()
+    if marks.count() <= 8 * rows_per_label:  # the sample's size is checked, then the texts need no shuffle
+        marks = F.broadcast(marks)
     bags = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, "key").select("text", "label")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
