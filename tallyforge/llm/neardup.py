@@ -3,7 +3,10 @@
 One hash per shingle serves all bins; optimal densification fills empty bins from full ones by a fixed random walk of bins. Bands
 of bins make buckets. In a bucket every document is compared with one centre only (a star), so a bucket of n documents has n - 1
 candidate pairs. Pairs are confirmed on their full shingle sets. Further rounds draw other centres in the buckets that still hold
-more than one component, until a round finds no new link.
+more than one component, until a round finds no new link. These rounds only join most documents early: after them every pair of
+different components that shares a bucket is compared, or ruled out by its lengths or by prefixes that share no shingle. Small
+buckets are taken pair by pair, larger ones are split by the rarest shingles of their documents, and groups that stay large are
+compared in blocks that return links only.
 """
 
 from __future__ import annotations
@@ -20,6 +23,12 @@ from tallyforge.llm.components import components
 
 #: How many other centres a further round draws in a bucket that still holds several components.
 CENTRES = 3
+#: Groups of up to so many documents are compared pair by pair; larger ones are split first, and then dealt in blocks.
+SMALL = 32
+#: Documents on each side of a block.
+BLOCK = 256
+#: Cells of the table of shingle counts that orders prefixes. Shingles that share a cell are ordered by hash, so any size is exact.
+CELLS = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be divided out again
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -165,6 +174,155 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return map_batches(both, check, "a long, b long")
 
 
+def _owned(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with `own`, the component so far of each rep."""
+    return groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("component", "rep")).drop("component")
+
+
+def _across(groups: DataFrame, key: str, percent: int) -> DataFrame:
+    """The distinct pairs (a, b), a > b, of different components in one group whose lengths allow a link."""
+    one, other = (groups.select(key, F.col("rep").alias(n), F.col("own").alias(f"own_{n}"), F.col("n_shingles").alias(f"n_{n}")) for n in "ab")
+    pairs = one.join(other, key).where(f"a > b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return pairs.select("a", "b").distinct()
+
+
+def full_sets(own: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rep, n_shingles, shingles) of the texts of `reps`; the shingles are a sorted set as 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(*byte_rows(b.column("text")), width)
+            cols = [b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "n_shingles", "shingles"])
+
+    rows = own.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    return map_batches(rows, run, "rep long, n_shingles long, shingles binary").where("n_shingles > 0")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n_shingles, token): of each set the rarest shingles, so many that two similar sets share at least one of theirs.
+
+    A set of n has at least ceil(n * percent / 100) shingles in common with a similar one; the first n + 1 less that many, in one
+    order for all sets, then hold a common one. The order is by counts per cell, a table of fixed size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for s in b.column("shingles"):
+                np.add.at(total, (np.frombuffer(s.as_py(), np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for r in map_batches(sets.select("shingles"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.cell] = r.n
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            out = []
+            for s in b.column("shingles"):
+                s = np.frombuffer(s.as_py(), np.uint64)
+                order = np.lexsort((s, known[(s % np.uint64(CELLS)).astype(np.int64)]))
+                out.append(s[order[: len(s) + 1 + (-len(s) * percent) // 100]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n_shingles"), pa.array(out, pa.list_(pa.int64()))], names=["rep", "n_shingles", "tokens"])
+
+    return map_batches(sets, first, "rep long, n_shingles long, tokens array<long>").select("rep", "n_shingles", F.explode("tokens").alias("token"))
+
+
+def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all similar documents of different components in each group (token, rep, own).
+
+    Per group, documents of the largest component (`main`) and the others are dealt to blocks; main meets only the others.
+    """
+    sizes = groups.groupBy("token", "own").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    parts = sizes.select("token", "main", F.ceil(F.col("n_main") / BLOCK).alias("k_main"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("k"))
+    rows = groups.join(parts, "token").withColumn("is_main", F.col("own") == F.col("main"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("k_main")).otherwise(F.col("k"))))
+    place = lambda main, i, j, left, right: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, at = F.lit(True), F.lit(False), F.col("at")
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    with_main = F.transform(upto("k"), lambda i: place(True, i, at, no, yes))
+    others = F.concat(F.transform(upto("k"), lambda j: place(False, F.least(at, j), F.greatest(at, j), at <= j, at >= j)), F.transform(upto("k_main"), lambda j: place(True, at, j, yes, no)))
+    dealt = rows.select("token", "rep", "own", F.explode(F.when(F.col("is_main"), with_main).otherwise(others)).alias("p")).select("token", "rep", "own", "p.*")
+
+    def compare(t: pa.Table) -> pa.Table:
+        reps, owns = t.column("rep").to_pylist(), t.column("own").to_pylist()
+        own_sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+        right = [k for k, y in enumerate(t.column("right").to_pylist()) if y]
+        up = {o: o for o in owns}
+
+        def find(o: int) -> int:
+            while up[o] != o:
+                up[o] = o = up[up[o]]
+            return o
+
+        a, b = [], []
+        if right:
+            size = np.array([len(own_sets[k]) for k in right])
+            known, flat = np.unique(np.concatenate([own_sets[k] for k in right]), return_inverse=True)
+            edge = np.concatenate([[0], np.cumsum(size)[:-1]])
+            seen = np.zeros(len(known), np.int32)
+            for x in [k for k, y in enumerate(t.column("left").to_pylist()) if y]:
+                s = own_sets[x]
+                hit = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                hit = hit[known[hit] == s]
+                seen[hit] = 1
+                both = np.add.reduceat(seen[flat], edge).astype(np.int64)
+                seen[hit] = 0
+                for k in np.flatnonzero(100 * both >= percent * (len(s) + size - both)).tolist():
+                    p, q = find(owns[x]), find(owns[right[k]])
+                    if p != q:
+                        up[p] = q
+                        a.append(reps[x])
+                        b.append(reps[right[k]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets.select("rep", "shingles"), "rep").groupBy("token", "main", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def exhaust(own: DataFrame, buckets: DataFrame, labels: DataFrame, links: DataFrame, tried: DataFrame, width: int, percent: int) -> DataFrame:
+    """Labels when no bucket holds a similar pair of different components any more."""
+    now = _owned(buckets.select("band", "rep", "n_shingles"), labels)
+    sizes = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    mixed = durable(now.join(sizes.select("band", "size"), "band"), "mixed")
+
+    def by_pairs(groups: DataFrame, key: str) -> None:
+        nonlocal links, labels, tried
+        fresh = durable(_across(groups, key, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = durable(confirm(own, fresh, width, percent), "links")
+        if not found.isEmpty():
+            links, labels = links.unionByName(found), durable(components(links.unionByName(found)), "labels")
+        tried = tried.unionByName(fresh)
+
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    small = mixed.where(f"size <= {SMALL}")
+    if not small.isEmpty():
+        by_pairs(small, "band")
+    # what is still mixed among the large ones is split by the shingles of prefixes
+    now = _owned(mixed.where(f"size > {SMALL}").select("band", "rep"), labels)
+    still = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("band")
+    large = durable(now.join(still, "band").select("rep").distinct(), "large")
+    if large.isEmpty():
+        return labels
+    sets = durable(full_sets(own, large, width), "sets")
+    tokens = durable(prefixes(sets, percent), "prefixes")
+
+    def groups() -> DataFrame:
+        known = _owned(tokens, labels)
+        sizes = known.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        return known.join(sizes.select("token", "size"), "token")
+
+    by_pairs(groups().where(f"size <= {SMALL}"), "token")
+    left = durable(groups().where(f"size > {SMALL}").select("token", "rep", "own").distinct(), "groups")
+    if not left.isEmpty():
+        found = durable(block_links(left, sets, percent), "links")
+        labels = durable(components(links.unionByName(found)), "labels")
+    return labels
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept.
 
@@ -176,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     least = real.groupBy("print").agg(F.min("doc_id").alias("rep"))
     # equal sets are one node from here on; the rows of the node's own document carry its bands
     nodes = signed.join(least, "print").where(F.col("doc_id") == F.col("rep"))
-    banded = nodes.select("rep", F.explode("bands").alias("band"))
+    banded = nodes.select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", F.col("a").alias("centre"))
     buckets = durable(banded.join(shared, "band").distinct(), "buckets")
     # only texts that share a bucket are compared: they are taken out once, however many rounds follow
@@ -203,6 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links, tried = links.unionByName(found), tried.unionByName(fresh)
         labels = durable(components(links), "labels")
         turn += 1
+    labels = exhaust(own, buckets, labels, links, tried, width, percent)
     classes = least.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

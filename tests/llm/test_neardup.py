@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tallyforge.llm import neardup
 from tallyforge.llm.common import byte_rows
 from tallyforge.llm.components import components
 from tallyforge.llm.neardup import Signer, near_duplicates, shingle_sets
@@ -88,3 +90,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
     assert near_duplicates(docs.limit(0), width=2).count() == 0
+
+
+def boilerplate(pairs, others):
+    """Texts of a shared passage and a few own words: any two are just too unlike for a link, except the first ones with their twins."""
+    rng = random.Random(21)
+    passage, word = [f"b{i}" for i in range(100)], lambda: f"x{rng.randrange(10**9)}"
+    rows = [passage + [word() for _ in range(13)] for _ in range(others)]
+    rows += [t[:102] + [word() for _ in range(11)] for t in rows[:pairs]]
+    order = rng.sample(range(len(rows)), len(rows))
+    return [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("small, block", [(32, 256), (4, 64)])
+def test_no_pair_of_a_mixed_bucket_is_left_out(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = boilerplate(4, 400)
+    _, want = truth(rows)
+    assert len(set(want.values())) == 400
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_blocks_join_all_similar_documents(spark):
+    rng = random.Random(4)
+    base = [[rng.randrange(1 << 40) for _ in range(40)] for _ in range(12)]
+    sets = {i: sorted({*base[i % 12][rng.randrange(5) :], rng.randrange(1 << 40)}) for i in range(700)}
+    own = {i: (0 if i % 12 == 0 and i < 600 else i) for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+    groups = spark.createDataFrame([(7, i, own[i]) for i in sets], "token long, rep long, own long")
+    table = spark.createDataFrame([(i, len(s), bytearray(np.array(s, np.uint64).tobytes())) for i, s in sets.items()], "rep long, n_shingles long, shingles binary")
+    found = [(r.a, r.b) for r in neardup.block_links(groups, table, 80).collect()]
+    assert {*map(frozenset, found)} <= {*map(frozenset, links)}
+    known = [(i, o) for i, o in own.items()]
+    assert roots(sets, found + known) == roots(sets, links + known)
