@@ -32,28 +32,37 @@ WORDS = ("example", "sample", "test", "dummy", "change", "changeme", "your", "he
 
 _RUN = re.compile(r"[A-Za-z0-9_+/-]{12,}={0,2}")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----.{20,10000}?-----END [A-Z ]{0,20}PRIVATE KEY-----", re.S)
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
+_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 #: How far the neighbouring words reach, in characters.
 REACH = 40
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of key blocks from a mark to the first END mark at least 20 characters after it, in one pass."""
+    at = 0
+    while (b := _BEGIN.search(text, at)) and (e := _END.search(text, b.end() + 20)):
+        yield b.start(), e.end()
+        at = e.end()
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of all candidates of a whole text, by start, without overlaps (the longer of two that start together wins)."""
+    """Spans of all candidates of a whole text, by start; those that overlap are one candidate."""
     spans = []
     for m in _RUN.finditer(text):
         if _DIGIT.search(text, m.start(), m.end()):
             spans.append(m.span())
     spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        spans += [m.span() for m in _PEM.finditer(text)]
+        spans += _blocks(text)
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
             out.append((s, e))
-        elif e - s > out[-1][1] - out[-1][0]:
-            out[-1] = (s, e)
+        else:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
     return out
 
 

@@ -1,8 +1,10 @@
 """The forest on held-out findings, the planted secrets of the test table, and edge cases."""
 
+import random
 import re
+import string
 
-from tallyforge.llm.secrets import candidates, features, fit, labelled_findings, redact, scan, train
+from tallyforge.llm.secrets import _judge, candidates, features, fit, labelled_findings, redact, scan, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,3 +47,16 @@ def test_rows(spark):
     assert redact(docs, forest).where("doc_id = 1").first().text is None
     assert scan(docs.limit(0), forest).count() == 0
     assert scan(docs, train([])).count() == 5
+
+
+def test_long_candidates_are_whole():
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    signed = f"eyJ{some(30)}.{some(300)}.{some(43)}"
+    parts = "%2F".join(some(9) for _ in range(60)) + "~tail"
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{chr(10).join(some(64) for _ in range(300))}\n-----END RSA PRIVATE KEY-----"
+    text = f"see token={signed} and secret={parts} then {key} end"
+    assert [text[s:e] for s, e in candidates(text)] == [signed, parts, key]
+    (found,) = _judge([text], ["src/app.py"], train(labelled_findings()))
+    assert len(found) == 3
+    assert len(candidates("-----BEGIN PRIVATE KEY-----" * 20_000)) == 0
