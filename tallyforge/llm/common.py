@@ -18,17 +18,24 @@ BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, deleted when the application ends.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.
 
-    Only where the cluster names none (as in tests on one machine) a temporary folder is taken, and then
-    set as the session's checkpoint folder.
+    Only on one machine (as in tests) may the cluster name none: then a temporary folder is taken, and set as the session's. On a
+    cluster that is an error, as executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/tallyforge"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -69,17 +69,18 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return shards.write_training_order(docs, tokenizer_path(), shards.shard_folder(docs))
+    return shards.write_training_order(docs, tokenizer_path(), shards.shard_folder(spark))
 
 
 @query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document: scores, numbers of ids and their crc32, best first."""
     return pieces.segment(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3, with_ids=False)
 
 
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()))
+    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.default_forest())
     hits = F.filter("findings", lambda f: f["secret"])
     place = F.transform(hits, lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string")))
     return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.concat_ws(",", place).alias("spans"))

@@ -1,8 +1,10 @@
 """Secret scans with a random forest that removes false positives (operator 3).
 
-A scan of a whole text finds candidates: long runs with digits, values behind a cue such as "password=", and private key blocks.
+A scan of a whole text finds candidates: long runs with digits or mixed case, dotted tokens, values behind a cue such as
+"password=", passwords in addresses, and private key blocks. No candidate has a greatest length, and those that overlap are one.
 A random forest decides which are secrets. Its features are the candidate's length, its character transitions, how much of it
-dictionary words cover, the path of the document and the neighbouring words; it is trained from labelled findings.
+dictionary words cover, the path of the document and the neighbouring words; it is trained from labelled findings. The dictionary
+is a parameter: the words of a public tokenizer's vocabulary file serve well.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.common import map_batches, texts
+from tallyforge.llm.tokens import tokenizer_path
 
 # fixed values: cues, benign neighbours, known beginnings of keys, words of paths that hold no live secrets
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private", "access_key", "client_secret")
@@ -32,33 +36,50 @@ WORDS = ("example", "sample", "test", "dummy", "change", "changeme", "your", "he
 
 _RUN = re.compile(r"[A-Za-z0-9_+/-]{12,}={0,2}")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
-_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
-_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
+_UPPER_INSIDE = re.compile(r"[a-z][A-Z]")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++)+|[A-Za-z0-9_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}+)+)")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key)[\"']?[ \t]*(?:=>|:=|[=:])\s{0,3}[\"']?([^\s\"',;]{6,})|bearer[ \t]+([^\s\"',;]{12,})")
+_ADDRESS = re.compile(r"://[^\s/:@]*+:([^\s/@]{3,}+)@")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_LINES = re.compile(r"(?:(?:\\[rn]|\s)*+[A-Za-z0-9+/=]{16,}+)++")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
-#: How far the neighbouring words reach, in characters.
+#: The neighbouring words are those within so many characters of a candidate: part of the features' definition, no bound on what is found.
 REACH = 40
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of key blocks from a mark to the first END mark at least 20 characters after it, in one pass."""
-    at = 0
-    while (b := _BEGIN.search(text, at)) and (e := _END.search(text, b.end() + 20)):
-        yield b.start(), e.end()
-        at = e.end()
+    """Spans of key blocks, in one pass: from a mark to its END mark, or over the lines of key material if the text breaks off."""
+    b, e = _BEGIN.search(text), None
+    while b:
+        after = _BEGIN.search(text, b.end())
+        if e is None or e.start() < b.end():
+            e = _END.search(text, b.end())
+        if e and not (after and after.start() < e.start()):
+            yield b.start(), e.end()
+        elif lines := _LINES.match(text, b.end()):
+            yield b.start(), lines.end()
+        if e is None and after is None:
+            return
+        b = after
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of all candidates of a whole text, by start; those that overlap are one candidate."""
     spans = []
     for m in _RUN.finditer(text):
-        if _DIGIT.search(text, m.start(), m.end()):
-            spans.append(m.span())
-    spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    if "PRIVATE KEY-----" in text:
+        s, e = m.span()
+        if _DIGIT.search(text, s, e) or e - s >= 20 and _UPPER_INSIDE.search(text, s, e):
+            spans.append((s, e))
+    if "." in text:
+        spans += [m.span() for m in _DOTTED.finditer(text)]
+    spans += [m.span(m.lastindex) for m in _ASSIGNED.finditer(text)]
+    if "://" in text:
+        spans += [m.span(1) for m in _ADDRESS.finditer(text)]
+    if "-----BEGIN" in text:
         spans += _blocks(text)
     out: list[tuple[int, int]] = []
-    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+    for s, e in sorted(spans):
         if not out or s >= out[-1][1]:
             out.append((s, e))
         else:
@@ -72,7 +93,7 @@ def _kind(c: str) -> int:
 
 @dataclass
 class Transitions:
-    """Log-probabilities of letter pairs in words, from the words around labelled findings."""
+    """Log-probabilities of letter pairs in words."""
 
     table: np.ndarray
 
@@ -92,18 +113,41 @@ class Transitions:
         return float(self.table[codes[:-1], codes[1:]].mean())
 
 
-def covered(text: str) -> float:
-    """The share of the candidate that dictionary words of at least four letters cover."""
-    low, hit = text.lower(), set()
-    for w in WORDS:
-        at = low.find(w) if len(w) >= 4 else -1
-        while at >= 0:
-            hit.update(range(at, at + len(w)))
-            at = low.find(w, at + 1)
-    return len(hit) / max(1, len(text))
+def dictionary(path: str) -> tuple[str, ...]:
+    """The words of at least four letters that begin a word in a vocabulary file of pieces."""
+    import sentencepiece
 
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = (m.id_to_piece(i) for i in range(m.get_piece_size()))
+    return tuple(sorted({p[1:].lower() for p in pieces if p.startswith("\u2581") and len(p) > 4 and p[1:].isalpha()}))
 
-def features(value: str, path: str, before: str, after: str, transitions: Transitions) -> list[float]:
+
+class Dictionary:
+    """Finds all its words in a text in one pass."""
+
+    def __init__(self, words: Iterable[str]):
+        import ahocorasick
+
+        self.words = ahocorasick.Automaton()
+        for w in {w for w in words if len(w) >= 4}:
+            self.words.add_word(w, len(w))
+        if len(self.words):
+            self.words.make_automaton()
+
+    def covered(self, text: str) -> float:
+        """The share of the characters that words cover."""
+        if not len(self.words) or not text:
+            return 0.0
+        free: list[tuple[int, int]] = []  # ends rise, so spans that overlap are on top of the stack
+        for end, size in self.words.iter(text.lower()):
+            start = end + 1 - size
+            while free and free[-1][1] > start:
+                start = min(start, free.pop()[0])
+            free.append((start, end + 1))
+        return sum(e - s for s, e in free) / len(text)
+
+
+def features(value: str, path: str, before: str, after: str, transitions: Transitions, known: Dictionary) -> list[float]:
     n = len(value)
     counts = Counter(value)
     kinds = [_kind(c) for c in value]
@@ -116,7 +160,7 @@ def features(value: str, path: str, before: str, after: str, transitions: Transi
     tail = before.rstrip(" \"'")
     low_path = path.lower()
     return [
-        float(n), *share, entropy, changes, transitions.mean(value), covered(value), len(counts) / n, longest / n,
+        float(n), *share, entropy, changes, transitions.mean(value), known.covered(value), len(counts) / n, longest / n,
         float(all(c in "0123456789abcdefABCDEF" for c in value)), float(value.startswith(PREFIXES)),
         float(any(q in low_path for q in QUIET_PATHS)), float(any(c in w for w in near for c in CUES)),
         float(bool(near) and any(c in near[-1] for c in CUES) and tail.endswith(("=", ":"))), float(any(w in BENIGN for w in near + far)),
@@ -130,6 +174,17 @@ class Forest:
 
     trees: list[tuple[np.ndarray, ...]]
     transitions: Transitions
+    words: tuple[str, ...] = WORDS
+
+    @cached_property
+    def known(self) -> Dictionary:
+        return Dictionary(self.words)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}  # each worker builds its own
+
+    def features(self, value: str, path: str, before: str, after: str) -> list[float]:
+        return features(value, path, before, after, self.transitions, self.known)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -171,7 +226,8 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
             gain = whole - (n[ok] * 2 * a * (1 - a) + (len(rows) - n[ok]) * 2 * b * (1 - b)) / len(rows)
             k = int(gain.argmax())
             if gain[k] > best[0]:
-                best = (float(gain[k]), int(f), float((v[ok[k]] + v[ok[k] + 1]) / 2))
+                low, high = float(v[ok[k]]), float(v[ok[k] + 1])
+                best = (float(gain[k]), int(f), (low + high) / 2 if (low + high) / 2 < high else low)
         if best[1] < 0:
             continue
         nodes[at][:2] = best[1], best[2]
@@ -184,20 +240,22 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
 Finding = tuple[str, str, str, str, int]
 
 
-def labelled_findings(seed: int = 17, each: int = 220) -> list[Finding]:
+def labelled_findings(seed: int = 17, each: int = 220, words: tuple[str, ...] = WORDS) -> list[Finding]:
     """(candidate, path, text before, text after, label): made findings of the usual kinds, secrets and false positives alike."""
     r = random.Random(seed)
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     alnum, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    syllables = ["an", "er", "the", "tion", "ou", "ing", "re", "en", "st", "ha", "la", "que", "ch", "au", "ver", "ge", "cion", "ado"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    url = alnum + "-_"
+    word = lambda: r.choice(words)
     prose = lambda: " ".join(word() for _ in range(4))
-    paths = ["src/app.py", "config/prod.env", "deploy.sh", "web", "src0", "notes.txt", "settings.yml", "main.tf"]
+    paths = ["src/app.py", "config/prod.env", "deploy.sh", "mail/inbox", "notes.txt", "settings.yml", "main.tf", ""]
     quiet = ["tests/test_login.py", "docs/example.md", "package-lock.json", "vendor/lib.js", "fixtures/a.json"]
-    cue = lambda: r.choice(["password=", "passwd: ", 'secret = "', "token = \"", "api_key=", "apiKey: '", "auth_token=", "client_secret=", "pwd="])
+    cue = lambda: r.choice(["password=", "passwd: ", 'secret = "', "token = \"", "api_key=", "apiKey: '", "auth_token=", "client_secret=", "pwd=", "credentials: ", "access_key = "])
     mark = lambda: r.choice(["commit ", "sha256:", "md5 ", "checksum=", "integrity: ", "uuid ", "order ", "build ", "digest ", "etag: "])
     plain = lambda: r.choice(["", " ", "(", "see ", "at ", "id "])
+    size = lambda: r.choice([100, 300, 1000, 4000])
+    block = lambda kind, lines: f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END {kind}PRIVATE KEY-----"
     rows: list[Finding] = []
 
     def put(value: str, before: str, label: int, path: str | None = None) -> None:
@@ -209,7 +267,15 @@ def labelled_findings(seed: int = 17, each: int = 220) -> list[Finding]:
         put(hexes(r.choice([32, 40, 48, 64])), cue(), 1)
         put(some(alnum + "+/", r.choice([20, 32, 40, 43])), cue(), 1)
         put(r.choice(["ghp_", "gho_", "glpat-", "sk_live_", "npm_", "AIza"]) + some(alnum, r.choice([20, 24, 35, 36])), r.choice([plain(), cue()]), 1)
-        put("eyJ" + some(alnum, 17) + "_" + some(alnum + "-_", r.choice([20, 60])), r.choice(["Bearer ", cue()]), 1)
+        put("eyJ" + some(alnum, 17) + "_" + some(url, r.choice([20, 60])), r.choice(["Bearer ", cue()]), 1)
+        put(f"eyJ{some(url, r.choice([20, 40]))}.{some(url, size())}.{some(url, 43)}", r.choice(["Bearer ", cue(), plain()]), 1)
+        put(some(url + "%.~+/", size()), cue(), 1)
+        put(some(string.ascii_letters, r.choice([20, 32, 64])), cue(), 1)
+        put(block(r.choice(["", "RSA ", "EC ", "OPENSSH "]), [some(alnum + "+/", 64) for _ in range(r.choice([3, 25, 50, 200]))]), r.choice([plain(), cue()]), 1)
+        put(some(alnum, r.choice([8, 12, 20])), r.choice(["postgres://admin:", "https://user:", "amqp://svc:"]), 1)
+        put(block("", [r.choice(["<your key here>", "...", "your private key", "REDACTED"])]), plain(), 0, r.choice(paths + quiet))
+        put(".".join(word() + word() + word() for _ in range(2)), plain(), 0)
+        put("".join(w.capitalize() for w in (word(), word(), word(), word(), word())), plain(), 0)
         put(some(alnum + "!#%&", r.choice([10, 12, 16])), cue(), 1)
         put(some("45", 1) + some(string.digits, 15), plain(), 0)
         put(some(string.digits, r.choice([12, 13, 14, 18, 20])), r.choice([plain(), mark(), "phone "]), 0)
@@ -226,18 +292,19 @@ def labelled_findings(seed: int = 17, each: int = 220) -> list[Finding]:
     return rows
 
 
-def train(findings: Iterable[Finding], trees: int = 40, depth: int = 10, least: int = 3, seed: int = 23) -> Forest:
-    """A forest of `trees` trees, each on a bootstrap sample of the findings."""
+def train(findings: Iterable[Finding], trees: int = 40, depth: int = 10, least: int = 3, seed: int = 23, words: tuple[str, ...] = WORDS) -> Forest:
+    """A forest of `trees` trees, each on a bootstrap sample of the findings. Letter pairs and coverage come from `words`."""
     findings = list(findings)
-    transitions = Transitions.learn(w for _, _, before, after, _ in findings for w in _NEAR.findall(f"{before} {after}"))
-    x = np.array([features(v, path, b, a, transitions) for v, path, b, a, _ in findings])
+    transitions = Transitions.learn(words)
+    known = Dictionary(words)
+    x = np.array([features(v, path, b, a, transitions, known) for v, path, b, a, _ in findings])
     y = np.array([label for *_, label in findings], float)
     rng = np.random.default_rng(seed)
     grown = []
     for _ in range(trees if len(findings) else 0):
         rows = rng.integers(0, len(y), len(y))
         grown.append(_grow(x[rows], y[rows], rng, depth, least))
-    return Forest(grown, transitions)
+    return Forest(grown, transitions, words)
 
 
 def fit(findings: DataFrame, limit: int = 50_000, **how: int) -> Forest:
@@ -248,9 +315,15 @@ def fit(findings: DataFrame, limit: int = 50_000, **how: int) -> Forest:
     return train([tuple(r) for r in rows], **how)
 
 
+def default_forest() -> Forest:
+    """Trained from the made findings, with the words of the public piece vocabulary."""
+    words = dictionary(tokenizer_path("piece_bpe_32k.model"))
+    return train(labelled_findings(words=words), words=words)
+
+
 def _judge(own: list[str], paths: list[str], forest: Forest) -> list[list[tuple[int, int, float]]]:
     spans = [candidates(t) for t in own]
-    x = [features(t[s:e], p, t[max(0, s - REACH) : s], t[e : e + REACH], forest.transitions) for t, p, found in zip(own, paths, spans) for s, e in found]
+    x = [forest.features(t[s:e], p, t[max(0, s - REACH) : s], t[e : e + REACH]) for t, p, found in zip(own, paths, spans) for s, e in found]
     scores = iter(forest.predict(np.array(x)).tolist() if x else [])
     return [[(s, e, next(scores)) for s, e in found] for found in spans]
 
@@ -258,7 +331,8 @@ def _judge(own: list[str], paths: list[str], forest: Forest) -> list[list[tuple[
 def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, with all candidates of the whole text as findings (start, end, score, secret: score >= 0.5).
 
-    A null or empty text has no finding; a null path counts as empty. Other columns are left out, whatever their names.
+    A null or empty text has no finding; a null path counts as empty. Repeated rows are scanned each; texts are scanned whole,
+    however long. A score of exactly 0.5 is a secret. Other columns are left out, whatever their names.
     """
     source = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"), F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", findings array<struct<start:int,end:int,score:double,secret:boolean>>"
@@ -275,7 +349,7 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sourc
 
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source", with_: str = "[SECRET]") -> DataFrame:
-    """`docs` with its own columns, the secrets of each text replaced by `with_`. A null text stays null."""
+    """`docs` with its own columns, the secrets of each text replaced by `with_`. A null text stays null, repeated rows stay."""
     names = docs.columns
     source = docs.withColumn("__path", F.coalesce(F.col(path).cast("string"), F.lit("")))
     shared, at = docs.sparkSession.sparkContext.broadcast(forest), names.index(text)

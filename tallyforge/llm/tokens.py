@@ -50,6 +50,13 @@ class DocumentTokenizer:
         made = [tiktoken.Encoding("document", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_PLAIN, public_tokenizers.PATTERN)]
         self.plain, self.full = (e.encode_to_numpy for e in made)
         self.library = Tokenizer.from_file(path)
+        self.highest = max([*ranks.values(), *self.library.get_vocab().values()])
+
+    def kind(self, *more: int) -> str:
+        """The narrowest little-endian type that holds every id of the vocabulary, and the given ones."""
+        if min(more, default=0) < 0:
+            raise ValueError("ids are not negative")
+        return "<u2" if max(self.highest, *more) < 1 << 16 else "<u4"
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:

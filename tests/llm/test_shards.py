@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyforge.llm.shards import feistel, read_records, write_training_order
+from tallyforge.llm.shards import TrainingOrder, feistel, write_training_order
 from tallyforge.llm.tokens import DocumentTokenizer, tokenizer_path
 
 
@@ -35,10 +35,30 @@ def test_shards(spark, tmp_path):
     assert sorted(r.slot for r in out) == list(range(len(want)))
     files = sorted(os.listdir(tmp_path / "out"))
     assert len([f for f in files if f.endswith(".bin")]) == len({r.shard for r in out}) > 3 and not [f for f in files if f.startswith(".shard") and not f.endswith(".crc")]
-    by = {(r.shard, r.record): r for r in out}
-    for s in {r.shard for r in out}:
-        for k, rec in enumerate(read_records(str(tmp_path / f"out/shard-{s:06d}.bin"), 64, start=2), 2):
-            assert zlib.crc32(rec.tobytes()) == by[s, k].ids_crc32
+    by = {r.slot: r for r in out}
+    order = TrainingOrder(f"file://{tmp_path}/out")
+    assert len(order) == len(want) and order.kind == "<u2"
+    for first in (0, 17, len(want) - 1):
+        got = list(order.records(first))
+        assert [zlib.crc32(r.tobytes()) for r in got] == [by[s].ids_crc32 for s in range(first, len(want))]
+    rewritten = write_training_order(docs, tokenizer_path(), f"file://{tmp_path}/out", length=64, shard_bytes=400_000).collect()
+    assert len(rewritten) == len(want) and len(TrainingOrder(f"{tmp_path}/out")) == len(want)
     order = [r.doc_id for r in sorted(out, key=lambda r: r.slot) if r.doc_id is not None]
     assert order != sorted(order)
     assert write_training_order(docs.limit(0), tokenizer_path(), f"file://{tmp_path}/none", length=64).count() == 0
+
+
+def test_long_texts_and_wide_ids(spark, tmp_path):
+    rows = [(1, "thin anon er " * 500_000), (2, "short"), (2, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = write_training_order(docs, tokenizer_path(), f"{tmp_path}/wide", length=512, end_id=70_000).collect()
+    order = TrainingOrder(f"{tmp_path}/wide")
+    assert order.kind == "<u4" and len(order) == len(out) and out[0].n_tokens <= 512
+    parts = {(r.doc_id, r.sequence): rec for r, rec in zip(sorted(out, key=lambda r: r.slot), order.records())}
+    ids = np.concatenate([parts[1, k] for k in range(len(out) - 2)])
+    tok = DocumentTokenizer(tokenizer_path())
+    whole = tok.ids(rows[0][1])
+    assert (ids[: len(whole)] == whole).all() and (ids[len(whole) :] == 70_000).all()
+    with pytest.raises(ValueError):
+        write_training_order(docs, tokenizer_path(), f"{tmp_path}/bad", end_id=-1)
