@@ -3,8 +3,9 @@
 Each language has a variable-order context tree over folded bytes. A symbol's probability in a context is its count against the
 context's total and its number of different symbols (escape method C); an escape goes to the next shorter context, whose
 distribution is renormalised over the symbols not yet seen. The statistics are frozen after training, so the code length of every
-(context, symbol) is a constant: the trees of all languages are compiled into one table, and the code length of a whole text is
-a sum of table entries. The language with the shortest code wins.
+(context, symbol) is a constant: a cell for what was seen in the context in any language, and otherwise the context's escape plus the
+shorter context's constant. All languages share one table, whose size follows what was seen; no context is left out. The code length
+of a whole text is a sum of table entries. The language with the shortest code wins, of equal ones the first by name.
 """
 
 from __future__ import annotations
@@ -50,13 +51,17 @@ def fold(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 @dataclass
 class Model:
-    """Frozen statistics: bits[(row of context) * symbols + symbol, language]; row_of has the longest known context of any three symbols."""
+    """Frozen statistics. row_of: the longest known context of any three symbols. cell_of[row * size + symbol]: the cell of what was seen
+    in that context, or -1, and then escape[row] bits lead to the context up[row]. bits and escape have a column per language."""
 
     languages: list[str]
     symbol: np.ndarray
     size: int
     row_of: np.ndarray
+    cell_of: np.ndarray
     bits: np.ndarray
+    escape: np.ndarray
+    up: np.ndarray
 
     def code_lengths(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of every row under every language, and its number of symbols."""
@@ -68,7 +73,18 @@ class Model:
             hi = min(lo + step, len(code))
             c = code[lo - ORDER : hi]
             key = (c[:-3].astype(np.int32) * a + c[1:-2]) * a + c[2:-1]
-            cells = self.bits[self.row_of[key] * a + c[3:]]
+            row, s3 = self.row_of[key], c[3:]
+            cell = self.cell_of[row * a + s3]
+            cells = self.bits[cell]
+            at = np.flatnonzero(cell < 0)
+            row, s3, spent = row[at], s3[at], 0.0
+            while len(at):  # the empty context has a cell for every symbol
+                spent = spent + self.escape[row]
+                row = self.up[row]
+                cell = self.cell_of[row * a + s3]
+                hit = cell >= 0
+                cells[at[hit]] = spent[hit] + self.bits[cell[hit]]
+                at, row, s3, spent = at[~hit], row[~hit], s3[~hit], spent[~hit]
             i, j = np.searchsorted(last, lo, side="right"), np.searchsorted(first, hi, side="left")
             s, e = np.clip(first[i:j], lo, hi) - lo, np.clip(last[i:j], lo, hi) - lo
             full = np.flatnonzero(e > s)
@@ -79,74 +95,59 @@ class Model:
         return total, last - first
 
 
-def _compile(languages: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, contexts: int) -> Model:
+def _compile(languages: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Model:
     """gram: four symbols in base SYMBOLS. The lower orders' counts follow from these, as each position has a full context."""
     parts = np.stack([gram // SYMBOLS**k % SYMBOLS for k in (3, 2, 1, 0)])
     seen = np.unique(np.append(parts.ravel(), 0))
     size = len(seen) + 1  # the last one stands for all symbols that were never seen
     symbol = np.full(SYMBOLS, size - 1, np.int32)
     symbol[seen] = np.arange(len(seen))
-    g = symbol[parts]
-    n_lang = len(languages)
-    key3 = (g[0].astype(np.int64) * size + g[1]) * size + g[2]
-    key2, key1 = key3 % (size * size), key3 % size
-    # rows: 0 the empty context, then those of one, two and three symbols
-    levels = [(key1, size), (key2, size**2), (key3, size**3)]
-    rows, ids, base = [np.zeros(1, np.int64)], [], 1
-    for k, (key, _) in enumerate(levels):
-        known, back = np.unique(key, return_inverse=True)
-        if k == 2 and len(known) > contexts:  # the longest contexts are pruned by their counts
-            known = np.sort(known[np.argsort(-np.bincount(back, weights=count), kind="stable")[:contexts]])
-        ids.append((known, base))
-        base += len(known)
-        rows.append(known)
-    table = np.empty((base, size, n_lang), np.float32)
-    prob = np.full((1, size, n_lang), 1.0 / size)  # order -1
-    parent_rows = np.zeros(1, np.int64)
-    stored: list[np.ndarray] = []
-    for k in range(4):
-        known = rows[k]
-        if k == 0:
-            parents = prob[parent_rows]
-            at = np.zeros(len(gram), np.int64)
-            inside = np.ones(len(gram), bool)
-        else:
-            key = levels[k - 1][0]
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            inside = known[at] == key
-            shorter = known % (size ** (k - 1))
-            parents = stored[k - 1][np.searchsorted(rows[k - 1], shorter)]
-        c = np.zeros((len(known), size, n_lang))
-        np.add.at(c, (at[inside], g[3][inside], lang[inside]), count[inside])
-        n, q = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        left = np.where(c > 0, 0, parents)
-        rest = left.sum(1, keepdims=True)
-        closed = rest <= 0  # every symbol has been seen: nothing is left to escape to
-        escaped = np.where(closed, 0, q) / np.maximum(n + np.where(closed, 0, q), 1) * left / np.where(closed, 1, rest)
-        p = np.where(c > 0, c / np.maximum(n + np.where(closed, 0, q), 1), escaped)
-        stored.append(np.where(n > 0, p, parents))
-    first = 0
-    for p in stored:
-        table[first : first + len(p)] = -np.log2(p)
-        first += len(p)
+    g = symbol[parts].astype(np.int64)
+    key3 = (g[0] * size + g[1]) * size + g[2]
+    contexts = [np.zeros(1, np.int64)] + [np.unique(key3 % size**k) for k in (1, 2, 3)]
+    base = np.cumsum([0] + [len(c) for c in contexts])
+    cell_of = np.full(base[-1] * size, -1, np.int32)
+    escape, up = np.zeros((base[-1], len(languages)), np.float32), np.zeros(base[-1], np.int32)
+    bits, first, shorter = [], 0, (np.arange(size), np.full((size, len(languages)), 1.0 / size))  # order -1
+    for k, known in enumerate(contexts):
+        pairs, at = np.unique(np.concatenate([key3 % size**k * size + g[3], np.arange(size if k == 0 else 0)]), return_inverse=True)
+        c = np.zeros((len(pairs), len(languages)))
+        np.add.at(c, (at[: len(gram)], lang), count)
+        row = np.searchsorted(known, pairs // size)
+        starts = np.searchsorted(row, np.arange(len(known)))
+        below = shorter[1][np.searchsorted(shorter[0], pairs % size ** max(k, 1))]
+        n, q = np.add.reduceat(c, starts), np.add.reduceat((c > 0).astype(float), starts)
+        left = 1 - np.add.reduceat(np.where(c > 0, below, 0), starts)
+        closed = q >= size  # every symbol has been seen: nothing is left to escape to
+        q = np.where(closed, 0, q)
+        leave = np.where((n > 0) & ~closed, q / np.maximum(n + q, 1) / np.maximum(left, 1e-300), 1.0)
+        p = np.where(c > 0, c / np.maximum(n + q, 1)[row], leave[row] * below)
+        cell_of[(base[k] + row) * size + pairs % size] = first + np.arange(len(pairs))
+        escape[base[k] : base[k + 1]] = -np.log2(leave)
+        if k:
+            up[base[k] : base[k + 1]] = base[k - 1] + np.searchsorted(contexts[k - 1], known % size ** (k - 1))
+        bits.append(-np.log2(p).astype(np.float32))
+        first, shorter = first + len(pairs), (pairs, p)
     every = np.arange(size**3, dtype=np.int64)
     row_of = np.zeros(size**3, np.int32)
-    for (known, base), width in zip(ids, (size, size**2, size**3)):
-        short = every % width
-        at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-        hit = known[at] == short
-        row_of[hit] = base + at[hit]
-    return Model(languages, symbol, size, row_of, table.reshape(-1, n_lang))
+    for k in (1, 2, 3):
+        short = every % size**k
+        at = np.minimum(np.searchsorted(contexts[k], short), len(contexts[k]) - 1)
+        hit = contexts[k][at] == short
+        row_of[hit] = base[k] + at[hit]
+    return Model(languages, symbol, size, row_of, cell_of, np.concatenate(bits), escape, up)
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = 1500, contexts: int = 16_000) -> Model | None:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = 1500, most_languages: int = 256) -> Model | None:
     """Statistics of whole texts of about `rows_per_language` rows of each language, chosen by a hash of `key`: a documented bound.
+    So is `most_languages`: of more values of `lang` those with most rows are learned, of equal ones the first by name.
 
     Rows whose text or language is null are left out. None if no row is left. Each partition counts its own four-symbol runs
-    before the shuffle; the driver gets sums, whose number is bounded by the sample.
+    before the shuffle; the driver gets sums, whose number is bounded by the sample. Repeated rows count as often as they occur.
     """
     use = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    counts = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = use.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = {r["lang"]: r["n"] for r in rows}
     if not counts:
         return None
     languages = sorted(counts)
@@ -171,14 +172,15 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     gram, n = gram[order], sums["n"].to_numpy(np.float64)[order]
     if not len(gram):
         return None
-    return _compile(languages, gram // SYMBOLS**4, gram % SYMBOLS**4, n, contexts)
+    return _compile(languages, gram // SYMBOLS**4, gram % SYMBOLS**4, n)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, with lang_pred, score (posterior under equal priors) and bits_per_symbol, of every row.
 
-    A text that is null or has no letter, and any text where no language was learned, gives `und` with score 0. Other columns are
-    left out, whatever their names.
+    A text that is null or has no letter, and any text where no language was learned, gives `und` with score 0. Of languages with
+    equal code lengths the first by name is given. Repeated rows are scored each; texts are scored whole, in bounded steps. Other
+    columns are left out, whatever their names.
     """
     source = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double, bits_per_symbol double"

@@ -41,7 +41,7 @@ def plain_bits(train: dict, langs: list[str], alphabet: int, codes: list[int], l
 def test_code_lengths_are_those_of_ppm(spark):
     rows = [(1, "abab Abba ab", "x"), (2, "bcbc cb; cbc", "y"), (3, "aab baa É", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    m = fit(docs, contexts=10_000)
+    m = fit(docs)
     train = defaultdict(lambda: defaultdict(Counter))
     for _, text, lang in rows:
         sym, (first, last) = fold(*byte_rows(pa.array([text])))

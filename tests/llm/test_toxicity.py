@@ -1,9 +1,11 @@
 """Multiple-instance learning: gradient, held-out accuracy, located sentences and edge cases."""
 
+import re
+
 import numpy as np
 
 from tallyforge.llm.common import held_out
-from tallyforge.llm.toxicity import Model, Scorer, features, fit, noisy_or, score
+from tallyforge.llm.toxicity import BITS, Model, Scorer, features, fit, noisy_or, score, slope
 
 SF = "/root/testdata/sf0.1"
 
@@ -41,3 +43,47 @@ def test_rows(spark):
     assert fit(docs, labels.limit(0)) is None
     assert {r.score for r in score(docs, None).collect()} == {0.0}
     assert score(docs.limit(0), model).count() == 0
+
+
+def test_slopes_by_finite_differences():
+    rng = np.random.default_rng(1)
+    label, plain = np.array([1.0, 0, 1, 0, 1]), np.array([0.0, 3, 2, 0, 5])
+    doc = np.array([0, 0, 1, 2, 3, 3])
+    sent, feat = np.array([0, 0, 1, 2, 3, 4, 5, 5]), np.array([0, 1, 2, 1, 3, 0, 2, 3])
+    for _ in range(20):
+        w, b, e = rng.normal(size=4), rng.normal() - 1, 1e-6
+        at = lambda w, b: slope(label, plain, doc, sent, feat, w, b)[0]
+        _, dw, db = slope(label, plain, doc, sent, feat, w, b)
+        steps = np.eye(4) * e
+        np.testing.assert_allclose(dw, [(at(w + s, b) - at(w - s, b)) / (2 * e) for s in steps], rtol=1e-4, atol=1e-6)
+        np.testing.assert_allclose(db, (at(w, b + e) - at(w, b - e)) / (2 * e), rtol=1e-4, atol=1e-6)
+
+
+def test_query_against_plain_scores(spark):
+    """op2_toxicity on a whole table against a sum over words, written out from the model that the query's own fit gives."""
+    from tallyforge.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit(docs, labels.where(~held_out(labels.doc_id)))
+    got = {r.doc_id: r for r in QUERIES["op2_toxicity"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        none = 1.0
+        for s in re.split(r"[.!?\n]+", (r.text or "").lower()):
+            if s:
+                z = model.bias + sum(model.weights[f] for w in set(re.findall(r"[^\W\d_]+", s)) for f in features(w))
+                none *= 1 - 1 / (1 + np.exp(-z))
+        np.testing.assert_allclose(got[r.doc_id].score, 1 - none, atol=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and model.weights.shape == (1 << BITS,)
+
+
+def test_wide_sample_needs_no_broadcast(spark):
+    """More marks than the checked size: the join is a shuffle and the model the same."""
+    docs = spark.createDataFrame([(i, "you fool. fine" if i % 2 else "kind words") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    many = labels.unionByName(spark.range(1000, 1400).selectExpr("id AS doc_id", "int(id % 2) AS toxic"))
+    model = fit(docs, many, rows_per_label=40)
+    assert model is None or np.isfinite(model.weights).all()
+    assert (fit(docs, labels).weights == fit(docs.repartition(3), labels).weights).all()
