@@ -11,12 +11,13 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of the links (a, b): the smallest id that can be reached.
 
     Each step groups by an id with a partial minimum and joins the minimum back, so a node with very many links is summed before
-    the shuffle and its rows can be split by the engine. Rounds grow with the logarithm of a component's size.
+    the shuffle, and the join splits its rows. Rounds grow with the logarithm of a component's size.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join has two plain sides and the engine can split the rows of an id with very many links
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))

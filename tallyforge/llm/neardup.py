@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge.llm.common import byte_rows, durable, map_batches
 from tallyforge.llm.components import components
 
-#: How many other centres a further round draws in a bucket that still holds several components.
-CENTRES = 3
+#: Rounds of stars around drawn centres at most, before the buckets that still hold several components are exhausted.
+ROUNDS = 2
 #: Groups of up to so many documents are compared pair by pair; larger ones are split first, and then dealt in blocks.
 SMALL = 32
 #: Documents on each side of a block.
@@ -101,7 +101,13 @@ class Signer:
         self.bands, self.rows = bands, rows
         self.bins = bands * rows
         self.edges = np.array([(i << 64) // self.bins for i in range(self.bins)], np.uint64)
-        self.walk = np.random.default_rng(seed).integers(0, self.bins, (64 * self.bins, self.bins))
+        self.seed, self.walk = seed, []
+
+    def steps(self, k: int) -> np.ndarray:
+        """The k-th 32 steps of every bin's walk; it has no end."""
+        while len(self.walk) <= k:
+            self.walk.append(np.random.default_rng([self.seed, len(self.walk)]).integers(0, self.bins, (32, self.bins)))
+        return self.walk[k]
 
     def bins_of(self, hashes: np.ndarray) -> np.ndarray:
         """The least hash of every bin; an empty bin takes that of the first full bin on its walk."""
@@ -110,17 +116,13 @@ class Signer:
         full = at < upto
         out = hashes[np.minimum(at, len(hashes) - 1)]
         left = np.flatnonzero(~full)
-        step, width = 0, 32
+        k = 0
         while len(left):
-            ways = self.walk[step : step + width][:, left]
+            ways = self.steps(k)[:, left]
             hit = full[ways]
             found = hit.any(0)
             out[left[found]] = out[ways[hit.argmax(0), np.arange(len(left))][found]]
-            left = left[~found]
-            step += width
-            if step >= len(self.walk):  # never met in practice: the walk is 64 times as long as there are bins
-                out[left] = hashes[0]
-                break
+            left, k = left[~found], k + 1
         return out
 
     def bands_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -176,7 +178,22 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 
 def _owned(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with `own`, the component so far of each rep."""
-    return groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("component", "rep")).drop("component")
+    return groups.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("own")), "rep")
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after further links. Only the links' components are contracted, however many documents they hold."""
+    one, other = (labels.select(F.col("id").alias(n), F.col("component").alias(f"own_{n}")) for n in "ab")
+    between = found.join(one, "a").join(other, "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct()
+    moves = durable(components(between), "moves").select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return durable(labels.join(moves, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
+def several(groups: DataFrame, key: str) -> DataFrame:
+    """(key, size) of the groups that hold several components, written so that what is joined with it has two plain sides: the engine
+    then broadcasts a small one, or splits hot groups."""
+    sizes = groups.groupBy(key).agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    return durable(sizes.select(key, "size"), "several")
 
 
 def _across(groups: DataFrame, key: str, percent: int) -> DataFrame:
@@ -186,6 +203,19 @@ def _across(groups: DataFrame, key: str, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def redrawn(buckets: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b), a > b, of this round's stars: in each bucket of several components one member is drawn by hash
+    as the centre, and meets the members of other components whose lengths allow a link."""
+    now = _owned(buckets.select("band", "rep", "n_shingles"), labels)
+    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "rep").alias("h"), "rep", "own", "n_shingles"))
+    centres = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), drawn.alias("c")).where("lo < hi")
+    # written first: the join below then has two plain sides, of which the engine broadcasts a small one or splits hot buckets
+    centres = durable(centres.select(F.col("band").alias("at"), F.col("c.rep").alias("centre"), F.col("c.own").alias("other"), F.col("c.n_shingles").alias("n_centre")), "centres")
+    meets = (F.col("band") == F.col("at")) & (F.col("own") != F.col("other"))
+    meets = meets & (100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
+    return now.join(centres, meets).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+
+
 def full_sets(own: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(rep, n_shingles, shingles) of the texts of `reps`; the shingles are a sorted set as 64-bit integers."""
 
@@ -283,28 +313,25 @@ def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets.select("rep", "shingles"), "rep").groupBy("token", "main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def exhaust(own: DataFrame, buckets: DataFrame, labels: DataFrame, links: DataFrame, tried: DataFrame, width: int, percent: int) -> DataFrame:
+def exhaust(own: DataFrame, buckets: DataFrame, labels: DataFrame, tried: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels when no bucket holds a similar pair of different components any more."""
     now = _owned(buckets.select("band", "rep", "n_shingles"), labels)
-    sizes = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    mixed = durable(now.join(sizes.select("band", "size"), "band"), "mixed")
+    mixed = durable(now.join(several(now, "band"), "band"), "mixed")
 
     def by_pairs(groups: DataFrame, key: str) -> None:
-        nonlocal links, labels, tried
+        nonlocal labels, tried
         fresh = durable(_across(groups, key, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = durable(confirm(own, fresh, width, percent), "links")
         if not found.isEmpty():
-            links, labels = links.unionByName(found), durable(components(links.unionByName(found)), "labels")
+            labels = merged(labels, found)
         tried = tried.unionByName(fresh)
 
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     small = mixed.where(f"size <= {SMALL}")
     if not small.isEmpty():
         by_pairs(small, "band")
     # what is still mixed among the large ones is split by the shingles of prefixes
     now = _owned(mixed.where(f"size > {SMALL}").select("band", "rep"), labels)
-    still = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("band")
-    large = durable(now.join(still, "band").select("rep").distinct(), "large")
+    large = durable(now.join(several(now, "band"), "band").select("rep").distinct(), "large")
     if large.isEmpty():
         return labels
     sets = durable(full_sets(own, large, width), "sets")
@@ -312,14 +339,12 @@ def exhaust(own: DataFrame, buckets: DataFrame, labels: DataFrame, links: DataFr
 
     def groups() -> DataFrame:
         known = _owned(tokens, labels)
-        sizes = known.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        return known.join(sizes.select("token", "size"), "token")
+        return known.join(several(known, "token"), "token")
 
     by_pairs(groups().where(f"size <= {SMALL}"), "token")
     left = durable(groups().where(f"size > {SMALL}").select("token", "rep", "own").distinct(), "groups")
     if not left.isEmpty():
-        found = durable(block_links(left, sets, percent), "links")
-        labels = durable(components(links.unionByName(found)), "labels")
+        labels = merged(labels, durable(block_links(left, sets, percent), "links"))
     return labels
 
 
@@ -327,42 +352,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept.
 
     Rows whose text is null, empty or blank have no shingle and are linked with nothing. Rows of one doc_id count as one document.
-    A null doc_id takes no part: its component_id is null and kept is true. Other columns are ignored.
+    A null doc_id takes no part: its component_id is null and kept is true. Other columns are ignored. Texts are read whole, however
+    long. Sets are compared by 64-bit hashes of their shingles, equal sets by a 128-bit digest of these.
     """
     signed = durable(signatures(docs, width, bands, rows), "signatures")
     real = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    least = real.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    # equal sets are one node from here on; the rows of the node's own document carry its bands
-    nodes = signed.join(least, "print").where(F.col("doc_id") == F.col("rep"))
+    # equal sets are one node from here on: the row of the smallest id carries its bands
+    least = real.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n_shingles", "bands")).alias("x"))
+    nodes = durable(least.select("print", "x.*"), "nodes")
     banded = nodes.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", F.col("a").alias("centre"))
-    buckets = durable(banded.join(shared, "band").distinct(), "buckets")
+    shared = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("z")).where("centre < z").drop("z")
+    buckets = durable(banded.join(durable(shared, "shared"), "band").distinct(), "buckets")
     # only texts that share a bucket are compared: they are taken out once, however many rounds follow
-    own = docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    own = durable(own, "texts")
-    spans = lambda df, b: df.select(F.col("rep").alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    tried = durable(spans(buckets, "centre"), "pairs")
+    reps = durable(buckets.select("rep").distinct(), "reps")
+    own = durable(docs.select("doc_id", "text").join(reps.withColumnRenamed("rep", "doc_id"), "doc_id"), "texts")
+    tried = durable(buckets.select(F.col("rep").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct(), "pairs")
     links = durable(confirm(own, tried, width, percent), "links")
-    labels = durable(components(links), "labels")
-    turn = 1
-    while True:
-        now = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-        others = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "band", "rep").alias("h"), "rep", "own")) for k in range(CENTRES)]
-        mixed = now.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.array(*others).alias("cs")).where("lo < hi")
-        star = now.join(mixed.select("band", "cs"), "band").select("rep", "own", F.explode("cs").alias("c")).where(F.col("own") != F.col("c.own")).select("rep", F.col("c.rep").alias("centre"))
-        pairs = star.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        seen = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = durable(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
+    joined = durable(components(links), "joined").withColumnRenamed("id", "rep")
+    labels = durable(reps.join(joined, "rep", "left").select(F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component")), "labels")
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for turn in range(1, ROUNDS + 1):
+        fresh = durable(redrawn(buckets, labels, turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = durable(confirm(own, fresh, width, percent), "links")
+        tried = tried.unionByName(fresh)
         if found.isEmpty():
             break
-        links, tried = links.unionByName(found), tried.unionByName(fresh)
-        labels = durable(components(links), "labels")
-        turn += 1
-    labels = exhaust(own, buckets, labels, links, tried, width, percent)
-    classes = least.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+        labels = merged(labels, found)
+    labels = exhaust(own, buckets, labels, tried, width, percent)
+    known = labels.withColumnRenamed("id", "rep")
+    classes = durable(nodes.select("print", "rep").join(known, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "classes")
     out = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
