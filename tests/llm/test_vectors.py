@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tallyforge.llm.vectors import near_vectors, nearest_neighbours
+from tallyforge.llm.vectors import Collisions, near_vectors, nearest_neighbours, unit
 from tests.llm.test_neardup import roots
 
 
@@ -61,3 +61,49 @@ def test_nearest(spark):
     few = t.where("vec_id < 3")
     assert nearest_neighbours(few, few).count() == 6
     assert nearest_neighbours(t.limit(0), t.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.1]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.1]), (5, [1.0]), (6, []), (7, [2.0, -1.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(t).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in nearest_neighbours(t, t).collect())
+    assert found == [(1, 1, 2), (1, 2, 7), (2, 1, 1), (2, 2, 7), (3, 1, 4), (4, 1, 3), (7, 1, 1), (7, 2, 2)]
+
+
+def test_ties_and_repeated_ids(spark):
+    rows = [(9, [1.0, 0.0]), (9, [0.0, 1.0]), (4, [1.0, 1.0]), (3, [2.0, 2.0]), (4, [1.0, 1.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = nearest_neighbours(t, t.where("vec_id = 9"), k=3).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in own] == [(1, 3), (2, 4), (3, 4)]
+    assert {r.score for r in own} == {1 / np.sqrt(2)} or np.allclose([r.score for r in own], 0.5**0.5)
+
+
+def test_planted_partners_in_64_dimensions(spark):
+    rng = np.random.default_rng(8)
+    base = unit(rng.normal(size=(4000, 64)))
+    away = rng.normal(size=(1000, 64))
+    away = unit(away - (away * base[:1000]).sum(1, keepdims=True) * base[:1000])
+    cos = rng.uniform(0.9, 0.95, (1000, 1))
+    x = np.vstack([base, cos * base[:1000] + np.sqrt(1 - cos**2) * away])
+    t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in near_vectors(t, cell_rows=20).collect()}
+    u = unit(x)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert sum(found.values()) >= 0.95 * want.sum() and all(found[i] <= want[i] for i in found)
+
+
+def test_few_vectors_are_verified():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8192, 64))
+    u = unit(x)
+    axes = np.random.default_rng([5, 64]).normal(size=(64, 128))
+    index = Collisions(np.arange(len(x)), x, axes, 0.95, 0.62, 0.8, 1.06)
+    hit = 0
+    for q in range(40):
+        ids, _ = index.nearest(q, x[q], u[q] @ axes, 5)
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(set(ids) & set(np.argsort(-s)[:5]))
+    assert hit >= 0.9 * 200 and index.verified <= 0.2 * 40 * len(x)
