@@ -7,7 +7,11 @@ queue in order of their full scores and each one popped at the start is the next
 No piece crosses the beginning of a word (this is checked when the model is read), so a text's lattice is a chain of its words'
 lattices. The forward scores of all new words of a batch are computed together, with the backward ones: the best path that leaves
 a word's best path anywhere gives the exact cost of its second choice. Only the n - 1 words of a text whose second choice costs
-least can take part in its n best segmentations; these words go through the A-star search.
+least (the first ones of equal cost) can take part in its n best segmentations; these words go through the A-star search.
+
+Log-probabilities are whole multiples of 2**-20, so sums are exact and equal scores are equal wherever they are computed. Of equal
+best segmentations that with the shortest piece wins, looking from the end; further ones of equal score come in the order in which
+the search, which goes on where it went last, meets them.
 """
 
 from __future__ import annotations
@@ -55,6 +59,10 @@ def _hashes(words: list[str]) -> np.ndarray:
     return _finish(np.array(total, np.uint64), np.array([len(w) for w in words]))
 
 
+#: Parts of a unit of log-probability, and a score below all others.
+SCALE, NONE = 1 << 20, -(1 << 60)
+
+
 class Lattice:
     """Pieces and log-probabilities of a model file, with exact n-best search.
 
@@ -75,25 +83,26 @@ class Lattice:
             scores = {i: -math.log(r + 1) for r, i in enumerate(ranked, 1)}
             # pieces without a rank (runs of spaces) cost as much as the last one
             scores |= {i: -math.log(len(ranked) + 2) for i in normal if i not in scores}
-        self.known = {self.pieces[i]: (i, scores[i]) for i in normal}
+        self.known = {self.pieces[i]: (i, round(scores[i] * SCALE)) for i in normal}
         self.longest = max(map(len, self.known))
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.known):
             raise ValueError("a piece crosses the beginning of a word: this model's texts cannot be segmented word by word")
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if m.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.byte_score = min(s for s in scores.values() if s > -1e8) - 10
+        self.byte_score = round((min(s for s in scores.values() if s > -1e8) - 10) * SCALE)
         self.most = most
         self.row: dict[str, int] = {}
         self.best_ids: list[bytes] = []
-        self.best_score, self.second_gap = np.zeros(0), np.zeros(0)
+        self.best_score, self.second_gap = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ways: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
         keys = _hashes([p for p in self.known])
         order = np.argsort(keys)
         self.hash = keys[order]
         self.hash_id = np.array([self.known[p][0] for p in self.known])[order]
         self.hash_score = np.array([self.known[p][1] for p in self.known])[order]
 
-    def edges(self, word: str, mark: str = "") -> list[list[tuple[int, float, tuple[int, ...]]]]:
+    def edges(self, word: str, mark: str = "") -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """By end node: (start node, score, ids). A character without a piece of its own is spelt in bytes."""
         out: list[list] = [[] for _ in range(len(word) + 1)]
         for end in range(1, len(word) + 1):
@@ -108,26 +117,31 @@ class Lattice:
                 out[end].append((end - 1, len(raw) * self.byte_score, tuple(self.byte[b] for b in raw)))
         return out
 
-    def search(self, word: str, n: int, mark: str = "") -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids), best first; equal scores in order of their ids from the end."""
+    def search(self, word: str, n: int, mark: str = "") -> list[tuple[int, bytes]]:
+        """The n best (score, ids), best first. Hypotheses are rows of a table that point to the one behind them."""
         edges = self.edges(word, mark)
-        best = [0.0] + [-math.inf] * len(word)
+        best = [0] + [NONE] * len(word)
         for end in range(1, len(word) + 1):
             best[end] = max(best[start] + s for start, s, _ in edges[end])
-        queue = [(-best[-1], (), len(word), 0.0)]
+        behind: list[tuple[int, tuple[int, ...]]] = [(-1, ())]
+        queue = [(-best[-1], 0, len(word), 0)]  # bound, age, node, score so far; of equal bounds the youngest is taken
         out = []
         while queue and len(out) < n:
-            bound, ids, node, behind = heapq.heappop(queue)
+            bound, age, node, total = heapq.heappop(queue)
             if node == 0:
-                out.append((-bound, tuple(i for part in reversed(ids) for i in part)))
+                ids, at = [], -age
+                while at > 0:
+                    at, piece = behind[at]
+                    ids.extend(piece)
+                out.append((-bound, np.array(ids, "<i4").tobytes()))
                 continue
-            for start, s, piece in edges[node]:
-                total = behind + s
-                heapq.heappush(queue, (-(best[start] + total), (*ids, piece), start, total))
+            for start, s, piece in edges[node]:  # the shortest piece last
+                behind.append((-age, piece))
+                heapq.heappush(queue, (-(best[start] + total + s), 1 - len(behind), start, total + s))
         return out
 
     def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Best score, cost of the second choice (infinite if there is none) and ids of the best of each word, for words of like length."""
+        """Best score, cost of the second choice (beyond -NONE / 2 if there is none) and ids of the best of each word, for words of like length."""
         n, size, wide = len(words), np.array([len(w) for w in words]), self.longest
         most = int(size.max())
         raw = np.zeros((n, most), np.uint64)
@@ -135,26 +149,26 @@ class Lattice:
         power, back = _powers(most + 1)
         total = np.zeros((n, most + 1), np.uint64)
         np.cumsum((raw + np.uint64(1)) * power[:most], axis=1, out=total[:, 1:])
-        edge = np.full((n, most + 1, wide + 1), -np.inf)
+        edge = np.full((n, most + 1, wide + 1), NONE, np.int64)
         piece = np.full((n, most + 1, wide + 1), -1, np.int64)
         for k in range(1, min(wide, most) + 1):
             key = _finish((total[:, k:] - total[:, :-k]) * back[: most + 1 - k], k)
             at = np.minimum(np.searchsorted(self.hash, key), len(self.hash) - 1)
             hit = (self.hash[at] == key) & (np.arange(k, most + 1) <= size[:, None])
-            edge[:, k:, k] = np.where(hit, self.hash_score[at], -np.inf)
+            edge[:, k:, k] = np.where(hit, self.hash_score[at], NONE)
             piece[:, k:, k] = np.where(hit, self.hash_id[at], -1)
-        spelt = np.isinf(edge[:, 1:, 1]) & (np.arange(1, most + 1) <= size[:, None])
+        spelt = (edge[:, 1:, 1] == NONE) & (np.arange(1, most + 1) <= size[:, None])
         edge[:, 1:, 1][spelt] = (self.byte_score * (1 + (raw > 0x7F) + (raw > 0x7FF) + (raw > 0xFFFF)))[spelt]
-        ahead, came = np.full((n, most + 1), -np.inf), np.zeros((n, most + 1), np.int64)
+        ahead, came = np.full((n, most + 1), NONE, np.int64), np.zeros((n, most + 1), np.int64)
         ahead[:, 0] = 0
         for end in range(1, most + 1):
             upto = min(wide, end)
             ways = ahead[:, end - upto : end][:, ::-1] + edge[:, end, 1 : upto + 1]
             came[:, end] = ways.argmax(1) + 1
             ahead[:, end] = ways[np.arange(n), came[:, end] - 1]
-        behind = np.full((n, most + 1), -np.inf)
+        behind = np.full((n, most + 1), NONE, np.int64)
         behind[np.arange(n), size] = 0
-        second = np.full(n, -np.inf)
+        second = np.full(n, 2 * NONE, np.int64)
         on = np.zeros((n, most + 1), bool)
         at = size.copy()
         parts: list[list[int]] = [[] for _ in range(n)]
@@ -173,7 +187,7 @@ class Lattice:
             behind[:, end - upto : end] = np.maximum(behind[:, end - upto : end], ways[:, ::-1])
             through = ways + ahead[:, end - upto : end][:, ::-1]
             rows = np.flatnonzero(on[:, end])
-            through[rows, came[rows, end] - 1] = -np.inf
+            through[rows, came[rows, end] - 1] = 2 * NONE
             second = np.maximum(second, through.max(1))
         score = ahead[np.arange(n), size]
         return score, score - second, [np.array(x[::-1], "<i4").tobytes() for x in parts]
@@ -181,7 +195,8 @@ class Lattice:
     def learn(self, words: list[str]) -> None:
         """Keep the best segmentation of new words; beyond `most` words all are forgotten first."""
         if len(self.row) + len(words) > self.most and self.row:
-            self.row, self.best_ids, self.best_score, self.second_gap = {}, [], np.zeros(0), np.zeros(0)
+            self.row, self.best_ids, self.best_score, self.second_gap = {}, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.ways = {}
         words = sorted(words, key=len)
         at = 0
         while at < len(words):
@@ -194,48 +209,65 @@ class Lattice:
             self.best_score, self.second_gap = np.concatenate([self.best_score, score]), np.concatenate([self.second_gap, gap])
             at = upto
 
-    def encode_batch(self, batch: list[str], n: int = 1) -> list[tuple[list[float], bytes]]:
-        """Per text: the scores of its n best segmentations, best first, and the ids of the best as 32-bit integers."""
-        split = [[] if not t or self._marked(t) else _WORD.findall(SPACE + t.replace(" ", SPACE)) for t in batch]
+    def _choices(self, word: str, n: int, mark: str = "") -> list[tuple[int, bytes]]:
+        """search, kept for words of usual length."""
+        if mark or len(word) > 32:
+            return self.search(word, n, mark)
+        if (word, n) not in self.ways:
+            if len(self.ways) >= self.most:
+                self.ways.clear()
+            self.ways[word, n] = self.search(word, n)
+        return self.ways[word, n]
+
+    def _chain(self, words: list[str], n: int, total: int, gaps: np.ndarray, best: list[bytes], mark: str = "") -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of a text from its words' best ids, their scores' sum and the costs of their second choices."""
+        out = [(total / SCALE, b"".join(best))]
+        if n == 1:
+            return out
+        ways: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
+        for k in sorted(k for k in np.argsort(gaps, kind="stable")[: n - 1].tolist() if gaps[k] < -NONE // 2):
+            (top, _), *others = self._choices(words[k], n, mark)
+            more = ways + [(cost + top - s, (*picks, (k, ids))) for cost, picks in ways for s, ids in others]
+            ways = heapq.nsmallest(n, more, key=lambda w: w[0])
+        for cost, picks in ways[1:]:
+            own = list(best)
+            for k, ids in picks:
+                own[k] = ids
+            out.append(((total - cost) / SCALE, b"".join(own)))
+        return out
+
+    def encode_batch(self, batch: list[str], n: int = 1) -> list[list[tuple[float, bytes]]]:
+        """Per text its n best segmentations, best first: (score, ids as 32-bit integers). An empty text has the empty one."""
+        marked = [self._marked(t) for t in batch]
+        split = [[] if m or not t else _WORD.findall(SPACE + t.replace(" ", SPACE)) for t, m in zip(batch, marked)]
         new = {w for words in split for w in words if w not in self.row}
         if len(self.row) + len(new) > self.most:
             new = {w for words in split for w in words}
-        self.learn(list(new))
+        self.learn(sorted(new))
         out = []
-        for t, words in zip(batch, split):
-            if not words:
-                ways = self.encode(t, n)
-                out.append(([s for s, _ in ways], np.array(ways[0][1], "<i4").tobytes()))
+        for t, words, m in zip(batch, split, marked):
+            if m:
+                out.append(self._spelt_out(t, n))
                 continue
             rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-            total, gaps = float(self.best_score[rows].sum()), self.second_gap[rows]
-            cheap = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n > 1 else np.arange(len(gaps)) if n > 1 else []
-            costs = [0.0]
-            for k in cheap:
-                if np.isfinite(gaps[k]):
-                    ways = self.search(words[k], n)
-                    costs = heapq.nsmallest(n, (c + ways[0][0] - s for c in costs for s, _ in ways))
-            out.append(([total - c for c in costs], b"".join([self.best_ids[r] for r in rows.tolist()])))
+            best = [self.best_ids[r] for r in rows.tolist()]
+            out.append(self._chain(words, n, int(self.best_score[rows].sum()), self.second_gap[rows], best))
         return out
 
     def _marked(self, text: str) -> bool:
         return SPACE in text or any(c in text for c in _ABSENT[:2])
 
+    def _spelt_out(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """A text that holds the space mark itself: another character stands for it, and all words go through the search."""
+        mark = next(c for c in _ABSENT if c not in text)
+        words = _WORD.findall(SPACE + text.replace(SPACE, mark).replace(" ", SPACE))
+        ways = [self.search(w, min(n, 2), mark) for w in words]
+        gaps = np.array([w[0][0] - w[1][0] if len(w) > 1 else -NONE for w in ways], np.int64)
+        return self._chain(words, n, sum(w[0][0] for w in ways), gaps, [w[0][1] for w in ways], mark)
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of one text as (score, ids), best first, by the search alone. An empty text has the empty one."""
-        if not text:
-            return [(0.0, [])]
-        mark = ""
-        if self._marked(text):
-            mark = next(c for c in _ABSENT if c not in text)
-            text = text.replace(SPACE, mark)
-        words = [self.search(w, n, mark) for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
-        ways: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for k in heapq.nsmallest(n - 1, (k for k, w in enumerate(words) if len(w) > 1), key=lambda k: words[k][0][0] - words[k][1][0]) if n > 1 else []:
-            more = [(cost + words[k][0][0] - words[k][c][0], pick | {k: c}) for cost, pick in ways for c in range(len(words[k]))]
-            ways = heapq.nsmallest(n, more, key=lambda w: w[0])
-        total = math.fsum(w[0][0] for w in words)
-        return [(total - cost, [i for k, w in enumerate(words) for i in w[pick.get(k, 0)][1]]) for cost, pick in ways]
+        """The n best segmentations of one text as (score, ids), best first."""
+        return [(s, np.frombuffer(raw, "<i4").tolist()) for s, raw in self.encode_batch([text], n)[0]]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a segmentation; bytes are joined before they are read as UTF-8."""
@@ -243,24 +275,45 @@ class Lattice:
 
 
 def segment(docs: DataFrame, model: str, n: int = 3, zipf: bool = True, with_ids: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, with n_pieces, ids_crc32 and (if asked for) ids of the best segmentation, scores (of the n best, best
-    first) and exact (decoding gives the text). The crc32 is that of the ids as little-endian 32-bit integers.
+    """The columns of `keep`, with the n best segmentations, best first: scores, counts (of ids), crcs (the crc32 of the ids as
+    little-endian 32-bit integers) and, if asked for, ids; and exact (decoding the best gives the text).
 
-    A null or empty text has no id, one score of 0 and is exact. Other columns are left out, whatever their names.
+    A null or empty text has one segmentation, without ids, of score 0. Fewer than n are all there are. Repeated rows are encoded
+    each; texts are encoded whole, in memory that follows the longest word and batch. Equal scores: see the module. Other columns
+    are left out, whatever their names.
     """
     source = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema += ", n_pieces long, ids_crc32 long, scores array<double>, exact boolean" + ", ids array<int>" * with_ids
+    schema += ", scores array<double>, counts array<int>, crcs array<long>, exact boolean" + ", ids array<array<int>>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model, zipf)
         for b in batches:
             own = texts(b, "__text")
             best = lattice.encode_batch(own, n)
-            ids = [np.frombuffer(raw, "<i4") for _, raw in best]
-            exact = [lattice.decode(i.tolist()) == t for i, t in zip(ids, own)]
-            more = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(raw) for _, raw in best], pa.int64()), pa.array([s for s, _ in best], pa.list_(pa.float64())), pa.array(exact)]
-            more += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "n_pieces", "ids_crc32", "scores", "exact", "ids"][: b.num_columns - 1 + len(more)])
+            exact = [lattice.decode(np.frombuffer(ways[0][1], "<i4").tolist()) == t for ways, t in zip(best, own)]
+            more = [
+                pa.array([[s for s, _ in ways] for ways in best], pa.list_(pa.float64())),
+                pa.array([[len(raw) // 4 for _, raw in ways] for ways in best], pa.list_(pa.int32())),
+                pa.array([[zlib.crc32(raw) for _, raw in ways] for ways in best], pa.list_(pa.int64())),
+                pa.array(exact),
+            ]
+            if with_ids:
+                more.append(pa.array([[np.frombuffer(raw, "<i4") for _, raw in ways] for ways in best], pa.list_(pa.list_(pa.int32()))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "scores", "counts", "crcs", "exact", "ids"][: b.num_columns - 1 + len(more)])
+
+    return map_batches(source, run, schema)
+
+
+def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep`, with the text of each row's ids (array<int>). Null ids give a null text, none the empty one."""
+    source = rows.select(*(F.col(c) for c in keep), F.col(ids).cast("array<int>").alias("__ids"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + f", `{text}` string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model)
+        for b in batches:
+            out = [None if own is None else lattice.decode(own) for own in b.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], text])
 
     return map_batches(source, run, schema)

@@ -1,10 +1,13 @@
 """N-best segmentation against all segmentations, and exact round trips."""
 
+import time
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tallyforge.llm.pieces import SPACE, Lattice, segment
+from tallyforge.llm.pieces import SCALE, SPACE, Lattice, decode, segment
 from tallyforge.llm.tokens import tokenizer_path
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -14,7 +17,7 @@ L = Lattice(MODEL)
 def every(text):
     """(score, ids) of all segmentations of a marked text, without the lattice."""
     if not text:
-        return [(0.0, ())]
+        return [(0, ())]
     out = []
     for end in range(1, len(text) + 1):
         if hit := L.known.get(text[:end]):
@@ -28,37 +31,57 @@ def every(text):
 @given(st.text(alphabet="the anér\n ", min_size=1, max_size=11), st.integers(1, 6))
 @settings(max_examples=120, deadline=None)
 def test_n_best_of_all_segmentations(text, n):
-    ways = sorted(every(SPACE + text.replace(" ", SPACE)), key=lambda w: -w[0])[:n]
+    ways = {ids: s / SCALE for s, ids in every(SPACE + text.replace(" ", SPACE))}
     got = L.encode(text, n)
-    np.testing.assert_allclose([s for s, _ in got], [s for s, _ in ways])
-    assert all(L.decode(ids) == text for _, ids in got) and len({tuple(i) for _, i in got}) == len(got)
-    scores, raw = L.encode_batch([text], n)[0]
-    np.testing.assert_allclose(scores, [s for s, _ in ways])
-    assert L.decode(np.frombuffer(raw, "<i4").tolist()) == text
+    assert [s for s, _ in got] == sorted(ways.values(), reverse=True)[:n]
+    assert all(ways[tuple(ids)] == s for s, ids in got) and len({tuple(i) for _, i in got}) == len(got)
+    assert all(L.decode(ids) == text for _, ids in got)
+
+
+@given(st.text(alphabet="aeinrst\n ", min_size=1, max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_forward_and_search_choose_the_same(text):
+    for word in text.split():
+        ((_, ids),) = L.search(word, 1)
+        _, _, (best,) = L.forward([word])
+        assert ids == best
 
 
 @given(st.text(max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_round_trip(text):
-    (_, raw), = L.encode_batch([text], 2)
-    assert L.decode(np.frombuffer(raw, "<i4").tolist()) == text
+    for _, ids in L.encode(text, 3):
+        assert L.decode(ids) == text
 
 
 @pytest.mark.parametrize("text", ["▁ a▁", "\U0010ffff x ▁", "", " ", "  two  ", "a\n\nb", "😀", "x" * 3000])
 def test_odd_texts(text):
-    (_, raw), = L.encode_batch([text], 3)
-    assert L.decode(np.frombuffer(raw, "<i4").tolist()) == text
+    for _, ids in L.encode(text, 3):
+        assert L.decode(ids) == text
 
 
-def test_forgetting_keeps_results():
+def test_batches_keep_results():
     small = Lattice(MODEL, most=5)
     batch = [f"word{i} other{i % 3} thing" for i in range(20)]
-    assert [x[1] for t in batch for x in small.encode_batch([t], 2)] == [x[1] for x in L.encode_batch(batch, 2)]
+    assert [small.encode_batch([t], 3)[0] for t in batch] == L.encode_batch(batch, 3)
+
+
+@pytest.mark.parametrize("word", ["x" * 100_000, "thein" * 20_000, "".join(chr(97 + i * i % 26) for i in range(100_000))])
+def test_long_words(word):
+    start = time.time()
+    ways = L.encode(word, 3)
+    assert time.time() - start < 40 and len(ways) == 3  # seconds on a free core
+    assert all(L.decode(ids) == word for _, ids in ways) and len({tuple(ids) for _, ids in ways}) == 3
+    assert ways[0][0] >= ways[1][0] >= ways[2][0]
 
 
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "the thing", 9), (2, None, 9), (3, "", 9), (3, "", 9), (None, "é ▁", 9), (4, "long word " * 20_000, 9)], "doc_id long, text string, ids int")
     out = segment(docs, MODEL).collect()
-    assert len(out) == 6 and all(r.exact and r.n_pieces == len(r.ids) for r in out)
-    assert {r.doc_id for r in out if r.n_pieces == 0} == {2, 3} and [r.scores for r in out if r.doc_id == 2] == [[0.0]]
+    assert len(out) == 6 and all(r.exact and r.counts == [len(i) for i in r.ids] and len(r.scores) == len(r.ids) for r in out)
+    assert all(zlib.crc32(np.array(i, "<i4").tobytes()) == c for r in out for i, c in zip(r.ids, r.crcs))
+    assert {r.doc_id for r in out if r.counts == [0]} == {2, 3} and [r.scores for r in out if r.doc_id == 2] == [[0.0]]
     assert segment(docs.limit(0), MODEL, with_ids=False).count() == 0
+    second = segment(docs, MODEL).selectExpr("doc_id", "get(ids, 1) AS ids", "1 AS text")
+    got = {r.doc_id: r.text for r in decode(second, MODEL).collect()}
+    assert got[1] == "the thing" and got[2] is None and got[4] == "long word " * 20_000
