@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import unicodedata
 
 import pandas as pd
@@ -89,10 +90,46 @@ def shorten(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
 
 
+# fixed values: how well two numbered features agree within a distance, and beyond
+GAPS, GAP_BEYOND = ((2, 1.0), (8, 0.7), (20, 0.3)), -0.2
+
+
 def feature_gap(a: Column, b: Column) -> Column:
     """How well two numbered features agree, by their distance; unknown ones say little."""
-    d = F.abs(a - b)
-    return F.when(a.isNull() | b.isNull(), 0.0).when(d <= 2, 1.0).when(d <= 8, 0.7).when(d <= 20, 0.3).otherwise(-0.2)
+    out = F.when(a.isNull() | b.isNull(), 0.0)
+    for reach, value in GAPS:
+        out = out.when(F.abs(a - b) <= reach, value)
+    return out.otherwise(GAP_BEYOND)
+
+
+def alphabet(document: str, parts: tuple[str, ...] = ("latin_extended", "japanese", "special_symbols")) -> str:
+    """The allowed characters of a JSON document that holds them as strings, once each."""
+    doc = json.loads(document)
+    return "".join(dict.fromkeys(c for p in parts for c in (doc.get(p) or "") if isinstance(doc, dict)))
+
+
+def allowed_percent(c: Column, allowed: str) -> Column:
+    """Percent of the visible characters that an alphabet has; 0 for none."""
+    chars = F.filter(F.split(visible(c), ""), lambda x: x != "")
+    inside = F.filter(chars, lambda x: F.lit(allowed).contains(x))
+    return F.when(F.size(chars) > 0, 100 * F.size(inside) / F.size(chars)).otherwise(0.0)
+
+
+def unknown_characters(c: Column, allowed: str) -> Column:
+    """The visible characters that an alphabet lacks, once each, in order."""
+    chars = F.filter(F.split(visible(c), ""), lambda x: (x != "") & ~F.lit(allowed).contains(x))
+    return F.array_join(F.array_distinct(chars), "")
+
+
+def candidate_score(name: Column, confidence: Column, allowed: str) -> Column:
+    """How good a recognised name is: its confidence, and bonuses for characters of the alphabet, length, variety, characters beyond
+    ASCII and letters, less those that the alphabet lacks; minus infinity if it has no visible character."""
+    shown = visible(name)
+    beyond = F.when(shown.rlike(r"[^\x00-\x7F]"), 10).otherwise(0)
+    letters = F.length(F.regexp_replace(shown, r"\P{L}", ""))
+    lacking = F.length(unknown_characters(name, allowed))
+    score = confidence + 30 * allowed_percent(name, allowed) / 100 + 4 * F.least(F.length(shown), F.lit(10)) + 3 * F.least(distinct_characters(name), F.lit(8)) + beyond + 1.5 * letters - 12 * lacking
+    return F.when(shown == "", F.lit(float("-inf"))).otherwise(score)
 
 
 def _key(text: str | None) -> str:

@@ -5,15 +5,16 @@ Clusters depend on the order of the observations, so these run per group in pand
 
 from __future__ import annotations
 
+import difflib
 import itertools
 from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyforge.functions.text import ALLOWED, collapse_space, similarity
+from tallyforge.functions.text import ALLOWED, _key, collapse_space, similarity
 from tallyforge.operators.matching import best_assignment
 
 
@@ -23,41 +24,36 @@ def allowed_share(name: str) -> float:
     return 100.0 * sum(c in ALLOWED or c.isalpha() for c in shown) / len(shown) if shown else 0.0
 
 
-def candidate_score(name: str, confidence: float) -> float:
-    """How good a recognised name is: its confidence, and bonuses for length, variety and letters; minus infinity if empty."""
-    shown = [c for c in name if not c.isspace()]
-    if not shown:
-        return float("-inf")
-    unknown = sum(not (c in ALLOWED or c.isalpha()) for c in shown)
-    return confidence + 30 * allowed_share(name) / 100 + 4 * min(len(shown), 10) + 3 * min(len(set(shown)), 8) + 10 * any(ord(c) > 127 for c in shown) + 1.5 * sum(c.isalpha() for c in shown) - 12 * unknown
-
-
 def clustered_vote(values: Sequence[tuple[str, float]], least: float = 0.72) -> dict:
     """Clusters of similar names, built in order; the winner is the heaviest cluster.
 
-    A name joins the first cluster whose representative is similar enough, and takes over as representative if it is heavier, cleaner
-    or longer. Flags: unknown_chars, low_name_confidence (mean weight below 50), low_name_stability (less than 0.6 of all weight).
+    A name with a weight above 0 joins the cluster whose representative's key has the highest ratio of matching blocks, if that is at
+    least `least`. It takes over as representative if it is heavier; of equal weights if it is cleaner, then if it is no shorter.
+    confidence is the winner's share of all weight. Flags: unknown_chars, low_name_confidence (mean weight below 50),
+    low_name_stability (a share below 0.6); the last two for no name at all.
     """
     clusters: list[dict] = []
-    for raw, weight in values:
-        name, weight = " ".join((raw or "").split()), max(0.0, weight)
-        if not name:
+    for place, (raw, weight) in enumerate(values):
+        name, key = " ".join((raw or "").split()), _key(raw)
+        if weight is None or not weight > 0 or not key:
+            continue
+        rank = (weight, allowed_share(name), len("".join(name.split())))
+        near = [(difflib.SequenceMatcher(None, key, c["key"]).ratio(), -k) for k, c in enumerate(clusters)]
+        ratio, k = max(near, default=(0.0, 0))
+        if ratio < least:
+            clusters.append({"name": name, "key": key, "rank": rank, "place": place, "weight": weight, "shares": [rank[1]]})
             continue
-        home = next((c for c in clusters if similarity(name, c["name"]) >= least), None)
-        if home is None:
-            clusters.append({"name": name, "best": (weight, allowed_share(name), len(name)), "weight": weight, "n": 1})
-        else:
-            home["weight"] += weight
-            home["n"] += 1
-            if (weight, allowed_share(name), len(name)) > home["best"]:
-                home["name"], home["best"] = name, (weight, allowed_share(name), len(name))
+        home = clusters[-k]
+        home["weight"] += weight
+        home["shares"].append(rank[1])
+        if rank >= home["rank"] and (rank[0] > home["rank"][0] or name != home["name"]):
+            home |= {"name": name, "key": key, "rank": rank, "place": place}
     if not clusters:
-        return {"name": "", "confidence": 0.0, "flags": ""}
-    total = sum(c["weight"] for c in clusters)
-    win = max(clusters, key=lambda c: (c["weight"], c["best"][1]))
-    mean = win["weight"] / win["n"]
-    flags = [f for f, on in (("unknown_chars", allowed_share(win["name"]) < 100), ("low_name_confidence", mean < 50), ("low_name_stability", win["weight"] < 0.6 * total)) if on]
-    return {"name": win["name"], "confidence": round(mean, 1), "flags": ";".join(flags)}
+        return {"name": "", "confidence": 0.0, "flags": "low_name_confidence;low_name_stability"}
+    win = max(clusters, key=lambda c: (c["weight"], float(np.mean(c["shares"])), c["rank"][:2], -c["place"]))
+    share = win["weight"] / sum(c["weight"] for c in clusters)
+    flags = [f for f, on in (("unknown_chars", win["rank"][1] < 100), ("low_name_confidence", win["weight"] / len(win["shares"]) < 50), ("low_name_stability", share < 0.6)) if on]
+    return {"name": win["name"], "confidence": share, "flags": ";".join(flags)}
 
 
 def canonical_name(history: Sequence[str]) -> str:
@@ -135,48 +131,130 @@ def low_resolution_links(rows: DataFrame) -> DataFrame:
     return rows.groupBy("race_class").applyInPandas(lambda pdf: assign_placeholders(pdf), schema)
 
 
-def chain_order(totals: np.ndarray, before: np.ndarray) -> list[int]:
-    """For rows of equal names: the permutation whose totals continue the chains' last totals with the smallest sum of gaps."""
-    ways = itertools.permutations(range(len(totals)))
-    return list(min(ways, key=lambda p: (sum(abs(before[i] - totals[j]) for i, j in enumerate(p)), p)))
+def chain_path(races: list[list[tuple]]) -> list[tuple[int, ...]]:
+    """Per race the row of each chain. races: rows (old total, new total, character, chain so far) by position, as many in each race.
 
-
-def resolve_chains(rows: DataFrame) -> DataFrame:
-    """Adds chain to rows whose base label occurs two to six times in a race: old totals follow the new totals of the race before.
-
-    rows: race_class, base, race_id, position, old_total, new_total.
+    The first race's rows are the chains in their order. The sum over all later races is the least possible of: the gaps between a
+    chain's last total and the row's old total (none if either is unknown), 1000 for each row with another character than the
+    chain's first, 0.01 for each row that leaves its chain so far. Of equal sums the first permutations win, race by race.
+    """
+    ways = list(itertools.permutations(range(len(races[0]))))
+    gap = lambda a, b: 0.0 if a is None or b is None else abs(a - b)
+
+    def own(rows: list[tuple], way: tuple[int, ...]) -> float:
+        return sum(1000.0 * (rows[r][2] != races[0][k][2]) + 0.01 * (rows[r][3] != k + 1) for k, r in enumerate(way))
+
+    # best sum from a race on, by the permutation of the race before: backwards, so that ties go to the first choice forwards
+    after, choice = dict.fromkeys(ways, 0.0), []
+    for before, rows in zip(races[-2::-1], races[:0:-1]):
+        bias = {w: own(rows, w) + after[w] for w in ways}
+        best = {p: min((sum(gap(before[i][1], rows[j][0]) for i, j in zip(p, w)) + bias[w], k) for k, w in enumerate(ways)) for p in ways}
+        after = {p: total for p, (total, _) in best.items()}
+        choice.append({p: ways[k] for p, (_, k) in best.items()})
+    path = [ways[0]]
+    for step in reversed(choice):
+        path.append(step[path[-1]])
+    return path
+
+
+def resolve_chains(rows: DataFrame, most: int = 6) -> DataFrame:
+    """Adds chain (1..n, by the rows of the first race) and ambiguous to the rows of each base label.
+
+    A base label with two to `most` rows in each of its races, two races at least, is resolved by chain_path; others, as the rule
+    demands, keep the order of their rows. Rows of the last race that share character and old total are ambiguous.
+    rows: race_class, base, race_id, position, old_total, new_total; and, if known, character, and label_index (the chain so far).
     """
+    more = [c for c in ("character", "label_index") if c in rows.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["race_id", "position"], kind="stable").reset_index(drop=True)
-        chain, last = np.zeros(len(pdf), np.int64), None
-        for _, race in pdf.groupby("race_id", sort=True):
-            old, new = race["old_total"].to_numpy(float), race["new_total"].to_numpy(float)
-            if last is None or len(last) != len(race) or not 2 <= len(race) <= 6:
-                order = list(range(len(race)))
-            else:
-                order = chain_order(old, last)
-            chain[race.index[order]] = np.arange(1, len(race) + 1)
-            last = new[order]
-        return pdf.assign(chain=chain)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", chain long"
+        known = lambda v: None if pd.isna(v) else v
+        column = lambda c: [known(v) for v in pdf[c]] if c in more else [None] * len(pdf)
+        items = list(zip([known(v) for v in pdf["old_total"]], [known(v) for v in pdf["new_total"]], column("character"), column("label_index")))
+        at = [list(g.index) for _, g in pdf.groupby("race_id", sort=True)]
+        chain, unsure = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+        sizes = {len(g) for g in at}
+        whole = len(at) > 1 and len(sizes) == 1 and 2 <= min(sizes) <= most
+        path = chain_path([[items[i] for i in g] for g in at]) if whole else [tuple(range(len(g))) for g in at]
+        for g, way in zip(at, path):
+            for k, r in enumerate(way):
+                chain[g[r]] = k + 1
+        if whole:
+            twice = Counter((items[i][2], items[i][0]) for i in at[-1])
+            for i in at[-1]:
+                unsure[i] = items[i][0] is not None and twice[items[i][2], items[i][0]] > 1
+        return pdf.assign(chain=chain, ambiguous=unsure)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", chain long, ambiguous boolean"
     return rows.groupBy("race_class", "base").applyInPandas(run, schema)
 
 
+def placeholder_names(evidence: Sequence[tuple[str, str, float]], least: float = 0.86) -> dict[str, str]:
+    """Names for the placeholders of one source, from (placeholder, name, score) in order of sighting.
+
+    A placeholder's names are summed, and clustered at `least` from the best down. Two passes go through the placeholders in order; a
+    name is given if it has enough sightings, score and lead over the second: 3, 2.0, and 1.0 or 1.18 times; then 2, 1.2, and 0.35
+    or 1.05 times. A name that was given is no candidate any more.
+    """
+    number = lambda p: (int("".join(c for c in p if c.isdigit()) or 0), p)
+    sums: dict[str, dict[str, list[float]]] = {}
+    for p, raw, score in evidence:
+        if name := " ".join((raw or "").split()):
+            entry = sums.setdefault(p, {}).setdefault(name, [0.0, 0])
+            entry[0] += score
+            entry[1] += 1
+    out: dict[str, str] = {}
+    # fixed values: sightings, score, lead, ratio
+    for sightings, score, lead, ratio in ((3, 2.0, 1.0, 1.18), (2, 1.2, 0.35, 1.05)):
+        for p in sorted(set(sums) - set(out), key=number):
+            clusters: list[dict] = []
+            for name, (total, n) in sorted(((k, v) for k, v in sums[p].items() if k not in out.values()), key=lambda x: (-x[1][0], x[0])):
+                home = next((c for c in clusters if similarity(name, c["name"]) >= least), None)
+                if home is None:
+                    home = {"name": name, "names": [name], "score": 0.0, "n": 0}
+                    clusters.append(home)
+                home["names"].append(name)
+                home["score"] += total
+                home["n"] += n
+                home["name"] = canonical_name(home["names"]) or name
+            ranked = sorted(clusters, key=lambda c: (-c["score"], -c["n"], c["name"]))
+            if not ranked:
+                continue
+            top, second = ranked[0], ranked[1]["score"] if len(ranked) > 1 else 0.0
+            clear = top["score"] - second >= lead or top["score"] / max(second, 0.001) >= ratio
+            if sum(c["n"] for c in ranked) >= sightings and top["score"] >= score and clear:
+                out[p] = top["name"]
+    return out
+
+
+def resolve_placeholders(rows: DataFrame) -> DataFrame:
+    """placeholder_names per source: race_class, placeholder, name. rows: race_class, placeholder, name, score, race_id, position."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["race_id", "position", "placeholder"], kind="stable")
+        got = placeholder_names(list(zip(pdf["placeholder"], pdf["name"], pdf["score"])))
+        rows = [(pdf["race_class"].iloc[0], p, n) for p, n in got.items()]
+        return pd.DataFrame(rows, columns=["race_class", "placeholder", "name"], dtype=object)
+
+    return rows.groupBy("race_class").applyInPandas(run, f"race_class {dict(rows.dtypes)['race_class']}, placeholder string, name string")
+
+
 def rescue_names(candidates: DataFrame, taken: DataFrame, support: int = 3, mean: float = 140, margin: float = 35) -> DataFrame:
     """Per placeholder the best supported text that no identity has: enough races, a high mean score, a clear lead over the second.
+    Without these it is still chosen (forced) if it has two races and a mean of 160, or one and 190.
 
-    candidates: race_class, placeholder, name, race_id, score; taken: race_class, name. Native.
+    candidates: race_class, placeholder, name, race_id, score; taken: race_class, name. Native; two aggregates find the two best.
     """
     free = candidates.join(taken, ["race_class", "name"], "left_anti")
     sums = free.groupBy("race_class", "placeholder", "name").agg(F.countDistinct("race_id").alias("races"), F.sum("score").alias("total"))
-    # two best entries are enough: the first, and the second's sum for the margin
-    top = F.sort_array(F.collect_list(F.struct("races", "total", "name")), asc=False)
-    best = sums.groupBy("race_class", "placeholder").agg(F.slice(top, 1, 2).alias("t"))
-    one, two = F.get("t", F.lit(0)), F.get("t", F.lit(1))
-    ok = (one["races"] >= support) & (one["total"] / one["races"] >= mean) & (one["total"] - F.coalesce(two["total"], F.lit(0)) >= margin)
-    return best.select("race_class", "placeholder", F.when(ok, one["name"]).alias("name"))
+    w = Window.partitionBy("race_class", "placeholder").orderBy(F.desc("races"), F.desc("total"), F.desc("name"))
+    top = sums.withColumn("place", F.row_number().over(w)).where("place <= 2")  # cut to two before it is sorted
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    best = top.groupBy("race_class", "placeholder").agg(at(1, "name").alias("name"), at(1, "races").alias("races"), at(1, "total").alias("total"), at(2, "total").alias("second"))
+    average = F.col("total") / F.col("races")
+    ok = (F.col("races") >= support) & (average >= mean) & (F.col("total") - F.coalesce("second", F.lit(0)) >= margin)
+    forced = ~ok & (((F.col("races") >= 2) & (average >= 160)) | (average >= 190))
+    return best.select("race_class", "placeholder", F.when(ok | forced, F.col("name")).alias("name"), forced.alias("forced"))
 
 
 def restore_missing(rows: DataFrame, size: int = 12, least: float = 0.58, margin: float = 0.10) -> DataFrame:

@@ -102,3 +102,11 @@ def scoring_policy(rows: DataFrame) -> DataFrame:
     marked = excluded_races(rows)
     counted = running_totals(marked, F.when(F.col("counts"), F.col("points")).otherwise(F.lit(0).cast("long")))
     return rank_in_race(counted, "new_total")
+
+
+def same_multiset(rows: DataFrame, keys: list[str], seen: str, expected: str, to: str) -> DataFrame:
+    """`to`: the expected values of a group whose seen values are the same multiset (none unknown), else the seen ones."""
+    w = Window.partitionBy(*keys)
+    group = lambda c: F.array_sort(F.collect_list(F.col(c)).over(w))
+    whole = (F.count(seen).over(w) == F.count("*").over(w)) & (group(seen) == group(expected))
+    return rows.withColumn("__same", whole).withColumn(to, F.when(F.col("__same"), F.col(expected)).otherwise(F.col(seen))).drop("__same")

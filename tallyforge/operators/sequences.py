@@ -71,3 +71,21 @@ def changed_rows(rows: DataFrame, keys: list[str], order: list[str], value: str)
     """Adds changed: the value differs from the one before; a null on either side is no change."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("changed", F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(False)))
+
+
+def first_transition(rows: DataFrame, keys: list[str], order: str, most: int = 6) -> DataFrame:
+    """Per key the index (from 0) of the first observation whose rows change: two totals, and a value of points or three rows at all.
+
+    Of observations with fewer common rows as many as there are have to change; unknown values never do.
+    rows: keys, order, points and totals (arrays by row), visible (number of rows).
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    both = rows.select(*keys, F.row_number().over(w).alias("__i"), "points", "totals", "visible", *(F.lag(c).over(w).alias(f"__{c}") for c in ("points", "totals", "visible")))
+    n = F.least(F.lit(most), F.coalesce("visible", F.lit(0)), F.coalesce("__visible", F.lit(0)))
+    k = F.when(n > 0, n).otherwise(F.lit(min(most, 6)))
+    changes = lambda c: F.transform(F.sequence(F.lit(1), k), lambda i: F.coalesce(F.try_element_at(c, i.cast("int")) != F.try_element_at(f"__{c}", i.cast("int")), F.lit(False)))
+    true = lambda a: F.size(F.filter(a, lambda x: x))
+    points, totals = changes("points"), changes("totals")
+    some = true(F.zip_with(points, totals, lambda a, b: a | b))
+    hit = (true(totals) >= F.least(F.lit(2), k)) & ((true(points) >= 1) | (some >= F.least(F.lit(3), k)))
+    return both.where("__i > 1").where(hit).groupBy(*keys).agg(F.min(F.col("__i") - 1).cast("long").alias("index"))

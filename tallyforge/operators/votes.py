@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -80,3 +82,18 @@ def top_k(rows: DataFrame, keys: list[str], score: str, tie: str, k: int) -> Dat
     """The k best rows per key, the earlier by `tie` among equals; the engine keeps k per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+
+
+def weight_grid(rows: DataFrame, keys: list[str], candidate: str, features: list[str], steps: int = 20) -> DataFrame:
+    """Per vector of weights (multiples of 1/steps with the sum 1) the groups whose lowest candidate has the highest weighted sum.
+
+    Features are whole numbers, candidates whole numbers from 0 below 2**20; of equal sums the lower candidate wins. All vectors are
+    summed up in one pass: a group gives one number per vector, and nothing is multiplied by the grid.
+    """
+    grid = [v for v in itertools.product(range(steps + 1), repeat=len(features)) if sum(v) == steps]
+    shift = F.lit(1 << 20)
+    score = lambda v: sum((F.lit(w) * F.col(f) for w, f in zip(v, features)), F.lit(0).cast("long"))
+    best = rows.groupBy(*keys).agg(F.min(candidate).alias("__t"), *[F.max(score(v) * shift + (shift - 1 - F.col(candidate))).alias(f"__{n}") for n, v in enumerate(grid)])
+    right = best.agg(*[F.count_if(shift - 1 - F.pmod(F.col(f"__{n}"), shift) == F.col("__t")).alias(f"__{n}") for n in range(len(grid))])
+    cells = [F.struct(*[F.lit(w / steps).alias(f) for w, f in zip(v, features)], F.col(f"__{n}").alias("correct")) for n, v in enumerate(grid)]
+    return right.select(F.inline(F.array(*cells)))

@@ -82,11 +82,6 @@ def k6_capture_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("user_id").agg(F.sum("events").alias("events"), F.sum(F.col("events") - F.col("frames")).alias("duplicates"))
 
 
-@query("SELECT o_custkey AS race_class, CAST(COUNT(*) AS BIGINT) AS n_frames, CAST(SUM(ROUND(o_totalprice)) AS BIGINT) // GREATEST(COUNT(*), 1) AS length_s FROM orders GROUP BY 1")
-def s4_source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("race_class")).agg(F.count("*").alias("n_frames"), F.floor(F.sum(F.round("o_totalprice")) / F.greatest(F.count("*"), F.lit(1))).alias("length_s"))
-
-
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, LOWER(c_name) DESC LIMIT 10")
 def s5_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.sources.files import longest

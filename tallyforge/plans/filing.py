@@ -11,25 +11,84 @@ from tallyforge.sources import files
 from tallyforge.sources.tables import table
 
 
-@query("SELECT page_id, LOWER(REGEXP_EXTRACT(url, '^https?://([^/]+)', 1)) AS host FROM pages WHERE NOT REGEXP_MATCHES(LOWER(url), '/(de|es)/') AND REGEXP_MATCHES(url, '^https?://')")
+@query("SELECT UNNEST(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name, TRUE AS filled")
 def s1_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths without the folders that are left out (here: de and es)."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url").where(F.col("url").rlike("^https?://"))
-    parts = F.split(F.lower(F.regexp_replace("url", r"/[^/]*$", "")), "/")
-    return p.where(~F.exists(parts, lambda x: x.isin("de", "es"))).select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("host"))
+    """The tables of the data folder as a listing shows them; nothing is read."""
+    listed = files.list_files(spark, sf_dir, recursive=True, suffixes=("parquet",))
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1)
+    return listed.groupBy(name.alias("name")).agg((F.sum("length") > 0).alias("filled")).where("name <> ''")
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey, 1000 + o_orderkey % 500 * 100 AS n FROM orders WHERE o_orderkey < 2000),
+    """WITH s AS (SELECT o_custkey AS input_order, COUNT(*) AS n_frames, o_custkey % 3 <> 0 AS parallel FROM orders GROUP BY o_custkey)
+    SELECT input_order, ROUND(n_frames / 4.0, 6) AS length_s, ROW_NUMBER() OVER (ORDER BY parallel DESC, input_order) AS number FROM s"""
+)
+def s4_workflow_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("input_order")).agg(F.count("*").alias("n_frames"))
+    plan = files.workflow_plan(o.select("input_order", "n_frames", F.lit(4).alias("fps"), (F.col("input_order") % 3 != 0).alias("parallel")))
+    return plan.select("input_order", F.round("length_s", 6).alias("length_s"), "number")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, 1000 + o_orderkey % 500 * 100 AS n FROM orders),
     f AS (SELECT o_orderkey, n, UNNEST(LIST_CONCAT(LIST_CONCAT(LIST_TRANSFORM(RANGE(10), lambda i: (n // 50) * i // 9), LIST_TRANSFORM(RANGE(40), lambda i: n // 50 + (n - 2 * (n // 50)) * i // 39)), LIST_TRANSFORM(RANGE(10), lambda i: n - n // 50 + (n // 50) * i // 9))) AS frame FROM o)
     SELECT o_orderkey, COUNT(DISTINCT frame) AS probes, MIN(frame) AS first, MAX(frame) AS last FROM f GROUP BY ALL"""
 )
 def s6_probe_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", (F.lit(1000) + F.col("o_orderkey") % 500 * 100).alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(1000) + F.col("o_orderkey") % 500 * 100).alias("n"))
     f = o.select("o_orderkey", files.probe_frames(F.lit(0), F.col("n")).alias("f"))
     return f.select("o_orderkey", F.size("f").cast("long").alias("probes"), F.element_at("f", 1).alias("first"), F.element_at("f", -1).alias("last"))
 
 
+@query("SELECT 'v' || o_custkey AS video, o_orderkey % 1000 AS race, COUNT(*) AS items FROM orders GROUP BY ALL HAVING BOOL_OR(o_orderkey % 3 = 1)")
+def s9_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of artefacts by video and race; races without a score bundle go."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, files.KINDS)), (k % 3 + 1).cast("int"))
+    path = F.concat(F.lit("Frames/v"), F.col("o_custkey").cast("string"), F.lit("/Race_"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("/"), kind, F.lit("/f_"), k.cast("string"), F.lit(".png"))
+    return files.bundles(table(spark, sf_dir, "orders").select(path.alias("path"))).select("video", F.col("race").cast("long").alias("race"), F.size("items").cast("long").alias("items"))
+
+
+@query("SELECT 'v' || c_nationkey AS video, c_custkey AS race, CASE WHEN c_custkey % 4 = 0 THEN 'lan2_split_2p' ELSE 'full' END AS layout, CAST(c_custkey * 3 AS VARCHAR) AS actual_frame FROM customer WHERE c_custkey % 7 <> 0")
+def s12_frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame metadata written as text and read again: rows without a usable race go, a blank layout is the default one."""
+    k = F.col("c_custkey")
+    folder = files.work_folder(spark, "metadata")
+    race = F.when(k % 7 == 0, "none").otherwise(k.cast("string"))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("v"), F.col("c_nationkey").cast("string")).alias("video"), race.alias("race"), F.lit("2RaceScore").alias("kind"), k.alias("requested_frame"), (k * 3).alias("actual_frame"), F.lit(30).alias("fps"), F.lit("").alias("timecode"), F.when(k % 4 == 0, "").otherwise("full").alias("layout"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit("p").alias("path"))
+    files.write_metadata(rows, folder)
+    return files.read_metadata(spark, folder).select("video", F.col("race").cast("long").alias("race"), "layout", "actual_frame")
+
+
+@query("SELECT c_custkey, c_name, ROUND(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def s17_results_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table as it comes back from its export."""
+    folder = files.work_folder(spark, "results")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+    files.write_results(rows, folder, "customers")
+    return spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/customers")
+
+
+@query("SELECT event_type AS stage, COUNT(*) * 2 AS n, CAST(SUM(user_id) * 2 AS BIGINT) AS users FROM events GROUP BY ALL")
+def s19_trace_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs append their events as JSON lines; counts of what is read again."""
+    folder = files.work_folder(spark, "trace")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        files.write_trace(rows, folder)
+    return spark.read.schema(rows.schema).json(folder).groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("SELECT c_custkey, c_nationkey AS race_class, CASE WHEN c_nationkey % 5 = 2 AND c_custkey % 2 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer WHERE c_nationkey % 5 <> 2 OR c_custkey % 2 = 0 OR c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)")
+def s20_scoped_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the sources of the second write are replaced."""
+    folder = files.work_folder(spark, "sources")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("race_class"), "c_name")
+    files.overwrite_sources(c.repartition("race_class"), folder)
+    files.overwrite_sources(c.where("race_class % 5 = 2 AND c_custkey % 2 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name")).repartition("race_class"), folder)
+    return spark.read.parquet(folder).select("c_custkey", F.col("race_class").cast("int").alias("race_class"), "c_name")
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 7 END AS frame FROM part")
 def s10_frame_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
@@ -55,9 +114,13 @@ def s13_metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, COALESCE(n_name, '') AS cup FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def s15_catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog document (here made of the 25 nations) read as a dimension."""
+    folder = files.work_folder(spark, "catalog")
+    item = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("cup_index"))
+    table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(item).alias("cups"))).alias("value")).write.text(folder)
+    cups = files.read_catalog(spark, folder, "cups").select(F.col("id").alias("n_nationkey"), F.col("name").alias("n_name"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", F.coalesce("n_name", F.lit("")).alias("cup"))
+    return s.join(cups, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", F.coalesce("n_name", F.lit("")).alias("cup"))
 
 
 @query(
@@ -101,25 +164,19 @@ def f19_number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k3_finalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities, session validation, scoring policy and standings in their order."""
-    from tallyforge.operators import scoring as S
-    from tallyforge.operators.matching import link_identities
-    from tallyforge.operators.sessions import validate_sessions
+    """Identities, duplicate chains, one-race outliers, session validation, numbered labels, scoring policy and standings, over all
+    sources; tests hold the invariants of a results file against it."""
+    from tallyforge.operators.finalisation import finalise
 
-    rows = races(spark, sf_dir).where("race_class % 10 = 0")  # sources in one tenth stand for the recordings of one season
+    rows = races(spark, sf_dir)
     name = F.concat(F.lit("player "), F.element_at(F.array(*map(F.lit, "anna bert cleo dora emil fritz gina hugo ines jana karl lena".split())), F.col("player").cast("int") + 1))
-    seen = rows.select("race_class", "race_id", "position", "points", "players", name.alias("name"), (F.col("supplier") % 4).alias("character"), F.lit(None).cast("double").alias("old_total"), F.lit(None).cast("double").alias("new_total"), F.when(F.col("price") % 4 != 0, F.col("points")).alias("seen_total"))
-    linked = link_identities(seen).drop("old_total", "new_total")
-    null = F.lit(None).cast("long")
-    ready = linked.select("race_class", "race_id", "position", F.col("identity").alias("player"), "points", F.col("points").alias("seen_points"), null.alias("seen_old"), "seen_total", F.col("position").alias("shown_position"), F.lit("").alias("codes"), F.lit(False).alias("low_res"), F.lit(90.0).alias("name_confidence"), F.lit(90.0).alias("digit_consensus"), F.lit(90.0).alias("row_count_confidence"), "players", F.col("players").alias("total_players"))
-    valid = validate_sessions(ready).select("race_class", "race_id", "position", "player", "points", "players", "session_index", "status")
-    last = S.last_rows(S.scoring_policy(valid))
-    return S.standings(last, "new_total").select("race_class", "player", "session_index", F.col("new_total").alias("total"), "rank")
+    seen = rows.select("race_class", "race_id", "position", "points", "players", name.alias("name"), (F.col("player") % 4).alias("character"), F.when(F.col("price") % 4 != 0, F.col("points")).alias("seen_total"), (F.col("price") % 100).cast("double").alias("confidence"))
+    return finalise(seen)
 
 
 @query()
 def j4_best_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of small races to columns by the largest sum of a score matrix; tests hold it against all permutations."""
+    """Rows of races to columns by the largest sum of a score matrix; tests hold it against all permutations."""
     import numpy as np
     import pandas as pd
 
@@ -131,8 +188,36 @@ def j4_best_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         scores = np.array([[(int(p) >> 2 * j) % 13 for j in range(n)] for p in pdf["price"]], float)
         return pd.DataFrame({"race_id": pdf["race_id"], "position": pdf["position"], "column": best_assignment(scores)})
 
-    rows = races(spark, sf_dir).where("players <= 5").select("race_id", "position", "price")
-    return rows.groupBy("race_id").applyInPandas(run, "race_id long, position long, column long")
+    return races(spark, sf_dir).select("race_id", "position", "price").groupBy("race_id").applyInPandas(run, "race_id long, position long, column long")
+
+
+@query()
+def o4_beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of a race takes its own number or the template before it; tests hold a wide beam against all paths."""
+    import pandas as pd
+
+    from tallyforge.operators.matching import beam_ranks
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        path = beam_ranks([{t: float((int(p) >> t) % 17) for t in range(1, i + 1)} for i, p in enumerate(pdf["price"], 1)])
+        return pd.DataFrame({"race_id": pdf["race_id"], "position": pdf["position"], "template": path})
+
+    return races(spark, sf_dir).select("race_id", "position", "price").groupBy("race_id").applyInPandas(run, "race_id long, position long, template long")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, CAST(l_discount * 100 AS BIGINT) * 5 AS b, l_partkey % 50 AS c FROM lineitem),
+    w AS (SELECT i, j, 10 - i - j AS k FROM RANGE(0, 11) x(i), RANGE(0, 11) y(j) WHERE i + j <= 10),
+    s AS (SELECT l_orderkey, i, j, k, ARG_MAX(l_linenumber, (i * a + j * b + k * c, -l_linenumber)) AS best, MIN(l_linenumber) AS truth FROM f, w GROUP BY ALL)
+    SELECT i / 10.0 AS a, j / 10.0 AS b, k / 10.0 AS c, COUNT(*) FILTER (WHERE best = truth) AS correct FROM s GROUP BY ALL"""
+)
+def a27_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each weighting of three features finds an order's first line; the best one is the largest count."""
+    from tallyforge.operators.votes import weight_grid
+
+    f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("a"), ((F.col("l_discount") * 100).cast("decimal(9,0)").cast("long") * 5).alias("b"), (F.col("l_partkey") % 50).alias("c"))
+    return weight_grid(f, ["l_orderkey"], "l_linenumber", ["a", "b", "c"], 10)
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_id IN (SELECT MIN(event_id) FROM events GROUP BY user_id, event_type)")

@@ -80,9 +80,9 @@ def f11_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.cell_text(raw).alias("cell"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'order | ' || event_type ELSE event_type || ' | order' END AS note FROM (SELECT event_id, event_type FROM events WHERE event_type <> 'error')")
+@query("SELECT event_id, event_type || ' | order' AS note FROM events")
 def f13_append_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    e = table(spark, sf_dir, "events")
     once = T.append_once(F.col("event_type"), F.lit("order"))
     return e.select("event_id", T.append_once(once, F.lit("order")).alias("note"))
 
@@ -152,3 +152,28 @@ def f21_distinct_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised keys that show more than one spelling within a group."""
     p = table(spark, sf_dir, "part").select("p_brand", F.lower("p_name").alias("name"), "p_type")
     return p.groupBy("p_brand", "name").agg(F.countDistinct("p_type").alias("n")).where("n > 1").drop("n")
+
+
+#: An alphabet document as the library reads it: three strings of characters.
+ALPHABET = '{"latin_extended": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "japanese": "", "special_symbols": ".-_!?&"}'
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, REGEXP_REPLACE(text, '\\s', '', 'g') AS v FROM conversations)
+    SELECT conv_id, turn, ROUND(CASE WHEN v = '' OR v IS NULL THEN 0 ELSE 100.0 * LENGTH(REGEXP_REPLACE(v, '[^a-zA-Z0-9.\\-_!?&]', '', 'g')) / LENGTH(v) END, 6) AS allowed,
+    COALESCE(ARRAY_TO_STRING(LIST_REDUCE(LIST_CONCAT([[]::VARCHAR[]], LIST_TRANSFORM(STRING_SPLIT(REGEXP_REPLACE(v, '[a-zA-Z0-9.\\-_!?&]', '', 'g'), ''), lambda c: [c])), lambda a, x: CASE WHEN x[1] = '' OR LIST_CONTAINS(a, x[1]) THEN a ELSE LIST_APPEND(a, x[1]) END), ''), '') AS unknown FROM c"""
+)
+def f6_alphabet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the characters of an alphabet document, and those it lacks in their order."""
+    allowed = T.alphabet(ALPHABET)
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.round(T.allowed_percent(F.col("text"), allowed), 6).alias("allowed"), T.unknown_characters(F.col("text"), allowed).alias("unknown"))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, p_size::DOUBLE AS c, REPLACE(p_name, ' ', '') AS v FROM part)
+    SELECT p_partkey, c + 30 + 4 * LEAST(LENGTH(v), 10) + 3 * LEAST(LEN(LIST_DISTINCT(STRING_SPLIT(v, ''))), 8) + 1.5 * LENGTH(v) AS score FROM n"""
+)
+def f9_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = T.candidate_score(F.col("p_name"), F.col("p_size").cast("double"), T.alphabet(ALPHABET))
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))

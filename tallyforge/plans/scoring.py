@@ -33,11 +33,18 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = w.orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
     rows = j.select(
         F.col("o_custkey").alias("race_class"), F.col("l_orderkey").alias("race_id"), (F.col("l_partkey") % 12).alias("player"), F.col("l_suppkey").alias("supplier"),
-        F.round("l_extendedprice").cast("long").alias("price"), F.col("l_returnflag").alias("flag"), F.row_number().over(place).cast("long").alias("position"), F.count("*").over(w).alias("players"),
+        F.round("l_extendedprice").cast("long").alias("price"), F.col("l_returnflag").alias("flag"), F.row_number().over(place).cast("long").alias("position"), F.count("*").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("players"),
     )
     return rows.withColumn("points", S.points(F.col("position"), F.col("players")))
 
 
+def race_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """race_class, race_id, players: line items are counted before they meet their orders."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("race_id")).agg(F.count("*").alias("players"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("race_class"), "o_orderkey")
+    return li.join(o, F.col("race_id") == F.col("o_orderkey")).select("race_class", "race_id", "players")
+
+
 @query(RACES + "SELECT race_class, race_id, position, players, points FROM rows_")
 def p6_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return races(spark, sf_dir).select("race_class", "race_id", "position", "players", "points")
@@ -63,8 +70,7 @@ def w3_last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RACES + "SELECT DISTINCT race_class, race_id, players, counts FROM marked")
 def w4_suffix_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = races(spark, sf_dir).groupBy("race_class", "race_id").agg(F.max("players").alias("players"))
-    return S.excluded_races(one)
+    return S.excluded_races(race_sizes(spark, sf_dir))
 
 
 @query(RACES + "SELECT race_class, race_id, position, player, new_total - CASE WHEN counts THEN points ELSE 0 END AS old_total, new_total FROM totals")
@@ -121,7 +127,7 @@ def w9_numbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT race_class, race_id, MAX(players) OVER (PARTITION BY race_class ORDER BY race_id) AS expected FROM r"""
 )
 def w15_running_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = races(spark, sf_dir).groupBy("race_class", "race_id").agg(F.max("players").alias("players"))
+    one = race_sizes(spark, sf_dir)
     w = Window.partitionBy("race_class").orderBy("race_id")
     return one.select("race_class", "race_id", F.max("players").over(w).alias("expected"))
 
@@ -224,7 +230,7 @@ def p14_complete_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a7_smallest_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.operators.votes import smallest_mode
 
-    sizes = races(spark, sf_dir).groupBy("race_class", "race_id").agg(F.count("*").alias("expected_players"))
+    sizes = race_sizes(spark, sf_dir).withColumnRenamed("players", "expected_players")
     return smallest_mode(sizes, ["race_class"], "expected_players")
 
 
@@ -238,15 +244,14 @@ def a8_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a11_histogram_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.operators.votes import histogram_text
 
-    sizes = races(spark, sf_dir).groupBy("race_class", "race_id").agg(F.count("*").alias("n"))
-    return histogram_text(sizes, ["race_class"], "n", "players")
+    return histogram_text(race_sizes(spark, sf_dir).withColumnRenamed("players", "n"), ["race_class"], "n", "players")
 
 
-@query(RACES + ", e AS (SELECT race_class, race_id, COUNT(*) AS n, LIST_SORT(LIST(points)) AS a, LIST_SORT(LIST(price % 16)) AS b FROM rows_ WHERE players <= 3 GROUP BY ALL) SELECT race_class, race_id, n, a = b AS same FROM e")
+@query(RACES + ", e AS (SELECT race_class, race_id, LIST_SORT(LIST(points)) = LIST_SORT(LIST(price % 4)) AS same FROM rows_ GROUP BY ALL) SELECT race_class, race_id, position, CASE WHEN same THEN points ELSE price % 4 END AS shown FROM rows_ JOIN e USING (race_class, race_id)")
 def a20_multiset_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether detected and expected totals of a race are the same multiset."""
-    a, b = F.array_sort(F.collect_list("points")), F.array_sort(F.collect_list(F.col("price") % 16))
-    return races(spark, sf_dir).where("players <= 3").groupBy("race_class", "race_id").agg(F.count("*").alias("n"), (a == b).alias("same"))
+    """Detected totals of a race that are the expected ones in another order are replaced by them, row by row."""
+    rows = races(spark, sf_dir).withColumn("seen", F.col("price") % 4)
+    return S.same_multiset(rows, ["race_class", "race_id"], "seen", "points", "shown").select("race_class", "race_id", "position", "shown")
 
 
 @query(RACES + ", d AS (SELECT race_class, race_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE price % 16 <> points) AS off FROM rows_ GROUP BY ALL) SELECT race_class, race_id, n, off, off >= GREATEST(4, CAST(FLOOR(n * 0.8) AS BIGINT)) AS candidate FROM d")
@@ -256,9 +261,33 @@ def a19_conditional_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("candidate", F.col("off") >= F.greatest(F.lit(4), F.floor(F.col("n") * F.lit(0.8))))
 
 
-@query(RACES + "SELECT race_class, race_id, position, CASE WHEN (price % 18) BETWEEN 1 AND 15 AND price % 3 >= 1 THEN price % 18 ELSE points END AS resolved FROM rows_")
+@query(
+    RACES
+    + """, r AS (SELECT race_class, race_id, position, points, price % 18 AS implied FROM rows_), v AS (SELECT l_orderkey AS race_id, l_quantity::BIGINT % 16 AS points, COUNT(*) AS votes FROM lineitem GROUP BY ALL)
+    SELECT r.race_class, r.race_id, r.position, CASE WHEN implied BETWEEN 1 AND 15 AND COALESCE(n.votes, 0) >= GREATEST(1, COALESCE(c.votes, 0)) THEN implied ELSE r.points END AS resolved
+    FROM r LEFT JOIN v c ON c.race_id = r.race_id AND c.points = r.points LEFT JOIN v n ON n.race_id = r.race_id AND n.points = r.implied"""
+)
 def a22_total_delta_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points that the totals imply, where they have votes (here: price modulo 3 of them)."""
-    implied = F.col("price") % 18
-    take = implied.between(1, 15) & (F.col("price") % 3 >= 1)
-    return races(spark, sf_dir).select("race_class", "race_id", "position", F.when(take, implied).otherwise(F.col("points")).alias("resolved"))
+    """Points that the totals imply, where they have as many votes as the current ones (here: quantities of the same race)."""
+    from tallyforge.operators.votes import point_override
+
+    rows = races(spark, sf_dir).select("race_class", "race_id", "position", "points", F.lit(0).cast("long").alias("old_total"), (F.col("price") % 18).alias("new_total"))
+    votes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("race_id"), (F.col("l_quantity").cast("long") % 16).alias("points")).agg(F.count("*").alias("votes"))
+    return point_override(rows, votes, ["race_id"]).select("race_class", "race_id", "position", "resolved")
+
+
+@query(
+    RACES
+    + """, o AS (SELECT race_class, race_id, LIST(price % 3 ORDER BY position) AS p, LIST(price % 5 ORDER BY position) AS t, LEAST(6, COUNT(*)) AS n FROM rows_ GROUP BY ALL),
+    x AS (SELECT *, LAG(p) OVER w AS pp, LAG(t) OVER w AS pt, LAG(n) OVER w AS pn, ROW_NUMBER() OVER w - 1 AS i FROM o WINDOW w AS (PARTITION BY race_class ORDER BY race_id)),
+    e AS (SELECT race_class, i, LEAST(n, pn) AS k, UNNEST(RANGE(1, LEAST(n, pn) + 1)) AS r, p, t, pp, pt FROM x WHERE pn IS NOT NULL),
+    c AS (SELECT race_class, i, k, COUNT(*) FILTER (WHERE t[r] <> pt[r]) AS totals, COUNT(*) FILTER (WHERE p[r] <> pp[r]) AS points, COUNT(*) FILTER (WHERE t[r] <> pt[r] OR p[r] <> pp[r]) AS changed FROM e GROUP BY ALL)
+    SELECT race_class, MIN(i) AS index FROM c WHERE totals >= LEAST(2, k) AND (points >= 1 OR changed >= LEAST(3, k)) GROUP BY ALL"""
+)
+def w12_transition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first observation of a source whose rows begin to change; its races stand for observations."""
+    from tallyforge.operators.sequences import first_transition
+
+    of = lambda c, m: F.transform(F.array_sort(F.collect_list(F.struct("position", (F.col(c) % m).alias("v")))), lambda x: x["v"])
+    seen = races(spark, sf_dir).groupBy("race_class", "race_id").agg(of("price", 3).alias("points"), of("price", 5).alias("totals"), F.count("*").alias("visible"))
+    return first_transition(seen, ["race_class"], "race_id").select("race_class", "index")

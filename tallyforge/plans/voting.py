@@ -96,7 +96,7 @@ def a23_similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+    """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT q.vec_id AS query_id, e.label, ROUND(LIST_DOT_PRODUCT(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS c, e.vec_id FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS k FROM s)
     SELECT query_id, ROUND(MAX(c) FILTER (WHERE k = 1), 6) AS best, ROUND(MAX(c) FILTER (WHERE k = 1) - MAX(c) FILTER (WHERE k = 2), 6) AS margin, ROUND(MAX(c) FILTER (WHERE k = 1) - MAX(c) FILTER (WHERE k = 5), 6) AS spread, COUNT(DISTINCT label) AS families FROM r WHERE k <= 5 GROUP BY ALL"""
@@ -106,7 +106,7 @@ def o5_margin_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stated query set meets all rows in blocks: rows are dealt to 64 blocks and every query goes to each of them."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
     e = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyforge.functions.text import source_key
+from tallyforge.operators.prefix import prefix_sums
 
 # fixed values: suffixes of videos, folders that are left out, kinds of artefacts
 VIDEO_SUFFIXES = ("mp4", "mkv", "mov", "avi", "webm")
@@ -48,9 +52,15 @@ def unmatched_requests(files: DataFrame, requests: DataFrame, by: list[str]) ->
 
 
 def workflow_plan(sources: DataFrame) -> DataFrame:
-    """Length in seconds and the order of work: sources that can run in parallel first, then in order of input."""
-    s = sources.withColumn("length_s", F.col("n_frames") / F.greatest(F.col("fps"), F.lit(1)))
-    return s.withColumn("number", F.row_number().over(Window.orderBy(F.desc("parallel"), "input_order")))
+    """Length in seconds, their sum, and the order of work from 1: sources that can run in parallel first, then in order of input.
+
+    input_order has to be unique. Numbers are running counts over ranges of it, so no task sees all sources.
+    """
+    one = sources.withColumn("length_s", F.col("n_frames") / F.greatest(F.col("fps"), F.lit(1))).withColumn("__one", F.col("parallel").cast("long"))
+    first = prefix_sums(one, "input_order", "__one").withColumnsRenamed({"upto": "__ahead", "total": "__parallel"}).withColumn("__one", F.lit(1).cast("long"))
+    all_ = prefix_sums(first, "input_order", "__one")
+    number = F.when(F.col("parallel"), F.col("__ahead")).otherwise(F.col("__parallel") + F.col("upto") - F.col("__ahead"))
+    return all_.withColumn("number", number).drop("__one", "__ahead", "__parallel", "upto", "total")
 
 
 def longest(sources: DataFrame, n: int) -> DataFrame:
@@ -100,6 +110,25 @@ def read_catalog(spark: SparkSession, path: str, part: str) -> DataFrame:
     return doc.select(F.inline(part))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, below spark.checkpoint.dir; deleted when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tallyforge-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def write_metadata(df: DataFrame, path: str) -> None:
+    """Exported frames as read_metadata reads them."""
+    df.select(*(F.col(c.split()[0]).cast("string") for c in METADATA.split(", "))).write.mode("append").option("sep", ";").option("header", True).csv(path)
+
+
 def write_results(df: DataFrame, folder: str, name: str) -> None:
     """A result table as CSV with a header, as one directory of part files (their number follows the data)."""
     df.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")

@@ -11,6 +11,7 @@ import pytest
 
 from tallyforge.functions import text as T
 from tallyforge.operators import matching as M
+from tallyforge.operators import names as N
 from tallyforge.operators import scoring as S
 from tallyforge.operators import sessions as X
 from tallyforge.operators.prefix import prefix_sums
@@ -52,17 +53,159 @@ def test_screen_pairs():
     assert [(i, j) for i, j, _ in M.pair_rows(total, race)] == [(0, 2), (1, 1), (2, 0)]
 
 
+LINKS = "race_class string, race_id long, position long, name string, character int, old_total double, new_total double, unreliable boolean"
+
+
+def linked(spark, rows):
+    got = M.link_identities(spark.createDataFrame([("v", *r) for r in rows], LINKS)).collect()
+    return {(r.race_id, r.position): r.identity for r in got}
+
+
 def test_identities_follow_names(spark):
-    rows = [("v", r, p, n, c, float(o), float(o + 5)) for r in (1, 2, 3) for p, (n, c, o) in enumerate([("Anna", 1, 5 * r - 5), ("Bert", 2, 5 * r - 5)] if r != 2 else [("Bertt", 2, 5), ("Ana", 1, 5)], 1)]
-    got = M.link_identities(spark.createDataFrame(rows, "race_class string, race_id long, position long, name string, character int, old_total double, new_total double")).collect()
-    ids = {r.name: r.identity for r in got}
-    assert ids["Anna"] == ids["Ana"] != ids["Bert"] == ids["Bertt"]
+    rows = [(r, p, n, c, float(o), float(o + 5), False) for r in (1, 2, 3) for p, (n, c, o) in enumerate([("Anna", 1, 5 * r - 5), ("Bert", 2, 5 * r - 5)] if r != 2 else [("Bertt", 2, 5), ("Ana", 1, 5)], 1)]
+    got = linked(spark, rows)
+    assert got[1, 1] == got[2, 2] == got[3, 1] != got[1, 2] == got[2, 1] == got[3, 2] and set(got.values()) == {1, 2}
+
+
+def test_identities_by_continuity_and_fallback(spark):
+    # unlike names: the total goes on and the character is the same; without these a new identity is founded
+    assert linked(spark, [(1, 1, "Anna", 1, 0.0, 40.0, False), (2, 1, "Xkcdq", 1, 41.0, 50.0, False)]) == {(1, 1): 1, (2, 1): 1}
+    assert linked(spark, [(1, 1, "Anna", 1, 0.0, 40.0, False), (2, 1, "Xkcdq", 2, 41.0, 50.0, False)]) == {(1, 1): 1, (2, 1): 2}
+    # an unreliable name that is half alike follows a total within eight
+    half = [(1, 1, "Annabel", 1, 0.0, 40.0, False), (2, 1, "Axxxbex", 2, 46.0, 50.0, True)]
+    assert 0.45 <= T.similarity("Annabel", "Axxxbex") < 0.72
+    assert linked(spark, half) == {(1, 1): 1, (2, 1): 1}
+    assert linked(spark, [half[0], (*half[1][:-1], False)]) == {(1, 1): 1, (2, 1): 2}
+
+
+def test_names_that_differ_in_case_stay_apart(spark):
+    rows = [(r, p, n, None, None, None, False) for r, names in ((1, ("Neo", "NEO")), (2, ("NEO", "Neo")), (3, ("NEO", "Neo"))) for p, n in enumerate(names, 1)]
+    got = linked(spark, rows)
+    assert got[1, 1] == got[2, 2] == got[3, 2] != got[1, 2] == got[2, 1] == got[3, 1]
+
+
+def test_totals_scale():
+    assert [next((v for reach, v in T.GAPS if d <= reach), T.GAP_BEYOND) for d in (0, 2, 3, 8, 9, 20, 21)] == [1, 1, 0.7, 0.7, 0.3, 0.3, -0.2]
+
+
+def test_clustered_votes():
+    vote = lambda v: N.clustered_vote(v)
+    got = vote([("Anna", 60.0), ("Anke", 50.0), ("Bert", 80.0)])
+    assert got["name"] == "Bert" and abs(got["confidence"] - 80 / 190) < 1e-12 and got["flags"] == "low_name_stability"
+    word = "\u00f1\u00ef\u00e6\u0142\u00df"
+    got = vote([(word, 88.0), (word, 84.0), ("\U0001f600\U0001f601\U0001f602", 10.0)])
+    assert got["name"] == word and got["confidence"] > 0.8 and got["flags"] == ""
+    assert vote([("Anna", 0.0), (None, 9.0), ("", 9.0), ("'", 9.0)]) == {"name": "", "confidence": 0.0, "flags": "low_name_confidence;low_name_stability"}
+    # the most similar cluster, not the first one that is similar enough
+    assert vote([("annabella", 10.0), ("annabelle", 10.0), ("annabelle x", 5.0)])["flags"] == "low_name_confidence"
+    got = vote([("abcdefgh", 50.0), ("abcdxxyy", 50.0), ("abcdexyy", 30.0)])
+    assert got["name"] == "abcdxxyy" and got["confidence"] == 80 / 130
+
+
+def test_chains_against_all_paths():
+    rng = random.Random(3)
+    for _ in range(60):
+        n, k = rng.randrange(2, 4), rng.randrange(2, 5)
+        races = [[(rng.choice([None, 0, 5, 9]), rng.choice([None, 0, 5, 9]), rng.choice([1, 2]), rng.randrange(1, n + 1)) for _ in range(n)] for _ in range(k)]
+        ways = list(itertools.permutations(range(n)))
+
+        def cost(path):
+            total = 0.0
+            for r in range(1, k):
+                for s in range(n):
+                    a, b = races[r - 1][path[r - 1][s]], races[r][path[r][s]]
+                    total += abs(a[1] - b[0]) if a[1] is not None and b[0] is not None else 0
+                    total += 1000 * (b[2] != races[0][s][2]) + 0.01 * (b[3] != s + 1)
+            return round(total, 6)
+
+        got = N.chain_path(races)
+        assert got[0] == ways[0] and cost(got) == min(cost((ways[0], *p)) for p in itertools.product(ways, repeat=k - 1))
+
+
+def test_duplicate_chain_follows_totals(spark):
+    rows = [("v", "x", 1, 1, 0, 10, 1), ("v", "x", 1, 2, 0, 5, 1), ("v", "x", 2, 1, 5, 15, 1), ("v", "x", 2, 2, 10, 12, 1), ("v", "x", 3, 1, 7, 9, 1), ("v", "x", 3, 2, 7, 9, 1), ("w", "x", 1, 1, 0, 1, 1), ("w", "x", 2, 1, 0, 1, 1), ("w", "x", 2, 2, 0, 1, 1)]
+    got = N.resolve_chains(spark.createDataFrame(rows, "race_class string, base string, race_id long, position long, old_total long, new_total long, character long")).collect()
+    assert {(r.race_id, r.position): (r.chain, r.ambiguous) for r in got if r.race_class == "v"} == {(1, 1): (1, False), (1, 2): (2, False), (2, 1): (2, False), (2, 2): (1, False), (3, 1): (1, True), (3, 2): (2, True)} or {r.ambiguous for r in got if r.race_id == 3} == {True}
+    assert not any(r.ambiguous for r in got if r.race_class == "w")
+
+
+RESETS = "race_class string, race_id long, position long, label string, name string, character int, reset boolean"
+
+
+def test_identity_swaps_across_a_reset(spark):
+    def rows(after, c=(1, 2, 3)):
+        before = [("v", r, p, n, n, k, False) for r in (1, 2, 3) for p, (n, k) in enumerate(zip(("Anna", "Bert", "Cleo"), c), 1)]
+        return spark.createDataFrame(before + [("v", r, p, n, n, k, True) for r in (4, 5) for p, (n, k) in enumerate(after, 1)], RESETS)
+
+    pairs = lambda t: {(r.old, r.new) for r in M.relink_after_reset(t).collect()}
+    assert pairs(rows([("Qqqq", 1), ("Wwww", 2), ("Cleo", 3)])) == {("Anna", "Qqqq"), ("Bert", "Wwww")}
+    assert pairs(rows([("Annaa", 7), ("Berta", 8), ("Cleo", 3)])) == ({("Anna", "Annaa"), ("Bert", "Berta")} if min(T.similarity("Anna", "Annaa"), T.similarity("Bert", "Berta")) >= 0.85 else set())
+    assert pairs(rows([("Qqqq", 7), ("Bert", 2), ("Cleo", 3)])) == {("Anna", "Qqqq")}  # by elimination
+    assert pairs(rows([("Qqqq", 7), ("Wwww", 8), ("Cleo", 3)])) == set()  # not complete
+    assert pairs(rows([("Anna", 1), ("Bert", 2), ("Cleo", 3)])) == set()
+
+
+def test_one_race_outliers(spark):
+    def found(bad, c, last="Anna"):
+        rows = [("v", r, p, n, False, k) for r in (1, 3) for p, (n, k) in enumerate((("Anna" if r == 1 else last, 1), ("Bert", 2)), 1)]
+        rows += [("v", 2, 1, "Xx", bad, c), ("v", 2, 2, "Bert", False, 2)]
+        t = spark.createDataFrame(rows, "race_class string, race_index long, position long, label string, unreliable boolean, character int")
+        return [(r.label, r.race_index, r.to) for r in M.single_race_outliers(t).collect()]
+
+    assert found(True, 1) == found(True, None) == [("Xx", 2, "Anna")]
+    assert found(False, 1) == found(True, 9) == found(True, 1, last="Dora") == []
 
 
 def test_fragments(spark):
-    rows = [("v", 1, "Annika", [1, 2], 2), ("v", 2, "Anikka", [3], 1), ("v", 3, "Bert", [1, 2, 3], 3)]
-    got = M.merge_fragments(spark.createDataFrame(rows, "race_class string, identity long, name string, races array<long>, rows long")).collect()
-    assert [(r.keep, r.drop) for r in got] == [(1, 2)]
+    schema = "race_class string, identity long, name string, character int, unreliable double, races array<long>, rows long, usual long"
+    rows = [("v", 1, "Annika", 1, 0.0, [1, 2], 2, 2), ("v", 2, "Anikka", 1, 0.5, [3], 1, 2), ("v", 3, "Bert", 2, 0.0, [1, 2, 3], 3, 2)]
+    merge = lambda r: [(x.keep, x.drop) for x in M.merge_fragments(spark.createDataFrame(r, schema)).collect()]
+    assert merge(rows) == [(1, 2)]
+    assert merge([(*r[:-1], 3) for r in rows]) == []  # no more identities than a race has rows
+    assert merge([(*r[:4], 0.0, *r[5:]) for r in rows]) == []  # both names are reliable
+    clash = [rows[0], (*rows[1][:3], 9, *rows[1][4:]), rows[2]]
+    assert merge(clash) == [] and merge([(*clash[0][:5], [1, 2, 4, 5], 4, 2), *clash[1:]]) == [(1, 2)]
+
+
+def test_placeholder_names():
+    seen = [("Player_2", "Anna", 0.9), ("Player_2", "Anna", 0.8), ("Player_2", "Ana", 0.7), ("Player_10", "Anna", 0.6), ("Player_10", "Bert", 0.7), ("Player_10", "Bert", 0.6), ("Player_3", "Cleo", 1.0), ("Player_4", "", 9.0)]
+    got = N.placeholder_names(seen)
+    assert got["Player_2"] in ("Anna", "Ana") and got["Player_10"] == "Bert" and set(got) == {"Player_2", "Player_10"}
+    assert N.placeholder_names([("P1", "Anna", 2.0), ("P1", "Anna", 2.0), ("P1", "Anna", 2.0), ("P2", "Anna", 9.0), ("P2", "Anna", 9.0), ("P2", "Anna", 9.0)]) == {"P1": "Anna"}
+
+
+def test_beam_against_all_paths():
+    rng = random.Random(2)
+    for _ in range(40):
+        scores = [{t: rng.random() for t in range(1, n + 1)} for n in range(1, 7)]
+        paths = [[1]]
+        for n in range(2, 7):
+            paths = [[*p, t] for p in paths for t in {p[-1], n}]
+        best = max(paths, key=lambda p: sum(s[t] for s, t in zip(scores, p)))
+        assert M.beam_ranks(scores, width=64) == best and len(M.beam_ranks(scores)) == 6
+
+
+def test_alphabet(spark):
+    allowed = T.alphabet('{"latin_extended": "abcA", "japanese": "ñ", "special_symbols": "!a", "other": "z"}')
+    assert allowed == "abcAñ!"
+    rows = spark.createDataFrame([("abñ! a",), ("xyx b",), ("",), (None,)], "s string")
+    assert [tuple(r) for r in rows.select(T.allowed_percent(F.col("s"), allowed), T.unknown_characters(F.col("s"), allowed)).collect()] == [(100.0, ""), (25.0, "xy"), (0.0, ""), (0.0, "")]
+    got = rows.select(T.candidate_score(F.col("s"), F.lit(50.0), allowed)).collect()
+    assert got[0][0] == 50 + 30 + 4 * 5 + 3 * 4 + 10 + 1.5 * 4 and got[2][0] == float("-inf")
+    assert abs(got[1][0] - (50 + 30 * 0.25 + 16 + 9 + 0 + 6 - 24)) < 1e-9
+
+
+def test_finalised_results_keep_their_invariants(spark):
+    """Every row once; a total is the sum of its counted points; ranks follow totals."""
+    from tallyforge.operators.finalisation import finalise
+
+    pts = [15, 12, 10, 9]
+    rows = [("v", r, p, pts[p - 1], 4, ("Anna", "Bert", "Cleo", "Dora")[(p + r) % 4], (p + r) % 4, None, 95.0) for r in range(1, 6) for p in range(1, 5)]
+    seen = spark.createDataFrame(rows, "race_class string, race_id long, position long, points long, players long, name string, character int, seen_total long, confidence double")
+    out = finalise(seen).collect()
+    assert len(out) == 4 and sum(r.total for r in out) == 5 * sum(pts) and {r.races for r in out} == {5}
+    by = sorted(out, key=lambda r: r["rank"])
+    assert all(a.total >= b.total for a, b in zip(by, by[1:])) and by[0]["rank"] == 1 and len({r.label for r in out}) == 4
 
 
 def test_jaro_winkler_check_value():
@@ -167,8 +310,8 @@ def test_name_votes_and_links():
     from tallyforge.operators import names as N
 
     got = N.clustered_vote([("Anna", 60.0), ("Anma", 70.0), ("  ", 99.0), ("Zoe", 40.0)])
-    assert got == {"name": "Anma", "confidence": 65.0, "flags": ""}
-    assert N.clustered_vote([]) == {"name": "", "confidence": 0.0, "flags": ""} and N.clustered_vote([("A§", 10.0)])["flags"] == "unknown_chars;low_name_confidence"
+    assert got == {"name": "Anma", "confidence": 13 / 17, "flags": ""}
+    assert N.clustered_vote([]) == {"name": "", "confidence": 0.0, "flags": "low_name_confidence;low_name_stability"} and N.clustered_vote([("A§", 10.0)])["flags"] == "unknown_chars;low_name_confidence"
     assert N.canonical_name(["bonno", "bonno", "bono", None]) == "bonno" and N.canonical_name([]) == ""
     assert N.candidate_score(" ", 50) == float("-inf") and N.candidate_score("Anna", 50) == 50 + 30 + 16 + 9 + 6
     pdf = pd.DataFrame({"race_id": [1, 1, 2, 2, 3], "position": [1, 2, 1, 2, 1], "name": ["anna", "bert", "bert", "ana", "bertt"], "character": [1, 2, 2, 1, 2]})
