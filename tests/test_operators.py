@@ -313,7 +313,5 @@ def test_name_votes_and_links():
     assert got == {"name": "Anma", "confidence": 13 / 17, "flags": ""}
     assert N.clustered_vote([]) == {"name": "", "confidence": 0.0, "flags": "low_name_confidence;low_name_stability"} and N.clustered_vote([("A§", 10.0)])["flags"] == "unknown_chars;low_name_confidence"
     assert N.canonical_name(["bonno", "bonno", "bono", None]) == "bonno" and N.canonical_name([]) == ""
-    assert N.candidate_score(" ", 50) == float("-inf") and N.candidate_score("Anna", 50) == 50 + 30 + 16 + 9 + 6
     pdf = pd.DataFrame({"race_id": [1, 1, 2, 2, 3], "position": [1, 2, 1, 2, 1], "name": ["anna", "bert", "bert", "ana", "bertt"], "character": [1, 2, 2, 1, 2]})
     assert N.assign_placeholders(pdf)["placeholder"].tolist() == [1, 2, 2, 1, 2]
-    assert N.chain_order(np.array([5.0, 9.0]), np.array([9.0, 5.0])) == [1, 0]
