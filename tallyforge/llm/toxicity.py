@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence's score is a logistic of the summed weights of its words and word prefixes; the
 document's score is the noisy-or of its sentences. Only documents have labels in training, the gradient runs through the
-noisy-or, and afterwards the sentence scores say where in the text the label comes from.
+noisy-or, and afterwards the sentence scores say where in the text the label comes from. In scoring, sentences below `FLOOR` alone
+make no document toxic: each clean sentence has a small score, and thousands of them in one long text would add up to certainty.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Features are hashed into 2**BITS weights.
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
+#: Sentences that score less are no evidence by themselves, and the most that all sentences give a document without further evidence.
+FLOOR, WEAK = 0.1, 0.49
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
@@ -173,6 +176,11 @@ def noisy_or(scores: list[float]) -> float:
     return 1 - none
 
 
+def document_score(scores: list[float]) -> float:
+    """The noisy-or of the sentences from `FLOOR` on; that of all sentences counts too, but gives at most `WEAK`."""
+    return max(noisy_or([p for p in scores if p >= FLOOR]), WEAK * noisy_or(scores))
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), locate: float = 0.5) -> DataFrame:
     """The columns of `keep`, with score, predicted (score >= 0.5) and the sentences whose own score is at least `locate`.
 
@@ -190,7 +198,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[
             total, spans = [], []
             for t in texts(b, "__text"):
                 own = scorer.sentences(t) if scorer else []
-                total.append(noisy_or([p for _, _, p in own]))
+                total.append(document_score([p for _, _, p in own]))
                 spans.append([{"start": s, "end": e, "score": p} for s, e, p in own if p >= locate])
             more = [pa.array(total, pa.float64()), pa.array([int(p >= 0.5) for p in total], pa.int32()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "score", "predicted", "offending"])

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from tallyforge.llm.common import held_out
-from tallyforge.llm.toxicity import BITS, Model, Scorer, features, fit, noisy_or, score, slope
+from tallyforge.llm.toxicity import BITS, Model, Scorer, document_score, features, fit, noisy_or, score, slope
 
 SF = "/root/testdata/sf0.1"
 
@@ -20,6 +20,9 @@ def test_noisy_or_by_hand():
     p = 1 / (1 + np.exp(-z))
     np.testing.assert_allclose([x for *_, x in got][1:], [p, p])
     np.testing.assert_allclose(noisy_or([0.5, 0.5]), 0.75)
+    np.testing.assert_allclose(document_score([0.5, 0.5, 0.01]), 0.75)
+    np.testing.assert_allclose(document_score([0.05, 0.05]), 0.49 * (1 - 0.95**2))
+    assert document_score([0.001] * 100_000) <= 0.49 and document_score([]) == 0
 
 
 def test_held_out_and_located(spark):
@@ -29,6 +32,11 @@ def test_held_out_and_located(spark):
     got = score(docs, model).join(labels, "doc_id").where(held_out(labels.doc_id)).toPandas()
     en = got[got.toxic == 1]
     assert got[got.toxic == 0].predicted.mean() < 0.03 and en.predicted.mean() > 0.75
+    # clean documents joined to one of 100,000 letters and more stay clean, and one toxic sentence in it is still seen
+    clean = " ".join(r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where("text IS NOT NULL").orderBy("doc_id").limit(60).collect())
+    bad = docs.where(docs.doc_id == int(en.sort_values("score").doc_id.iloc[-1])).first().text
+    long = spark.createDataFrame([(1, clean), (2, clean + "\n" + bad)], "doc_id long, text string")
+    assert len(clean) > 100_000 and {r.doc_id: r.predicted for r in score(long, model).collect()} == {1: 0, 2: 1}
     texts = {r.doc_id: r.text for r in docs.collect()}
     words = " ".join(texts[r.doc_id][s["start"] : s["end"]].lower() for r in en.itertuples() for s in r.offending)
     assert "idiot" in words or "moron" in words or "stupid" in words
@@ -70,12 +78,14 @@ def test_query_against_plain_scores(spark):
     rows = docs.collect()
     assert len(got) == len(rows)
     for r in rows:
-        none = 1.0
+        none = strong = 1.0
         for s in re.split(r"[.!?\n]+", (r.text or "").lower()):
             if s:
                 z = model.bias + sum(model.weights[f] for w in set(re.findall(r"[^\W\d_]+", s)) for f in features(w))
-                none *= 1 - 1 / (1 + np.exp(-z))
-        np.testing.assert_allclose(got[r.doc_id].score, 1 - none, atol=1e-9)
+                p = 1 / (1 + np.exp(-z))
+                none *= 1 - p
+                strong *= 1 - p if p >= 0.1 else 1
+        np.testing.assert_allclose(got[r.doc_id].score, max(1 - strong, 0.49 * (1 - none)), atol=1e-9)
         assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and model.weights.shape == (1 << BITS,)
 
 
