@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs:
 
 1. toxicity: documents whose score is at least 0.5 go.
-2. language: documents without a letter, or whose language stays in doubt (posterior below 0.5), go.
+2. language: documents without a letter go, those whose language stays in doubt (posterior below 0.5), and those that the likeliest
+   language explains no better than chance (more bits a symbol than equally likely symbols take), such as texts in other scripts.
+   Where no language could be learned, every document with a letter stays.
 3. near_duplicates: of each group linked on shingles of five words at a similarity of 0.8, the document with the smallest id stays.
 4. secrets: secrets inside texts are replaced; every document stays, and n_chars follows the new text.
 5. packing: documents become pieces in sequences of at most 2048 ids.
@@ -32,8 +34,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out(docs.doc_id)))
+    if model is None:
+        return documents_only(docs.where(docs.text.rlike(r"\p{L}")))
     found = langid.identify(documents_only(docs), model, keep=DOCUMENT_COLUMNS)
-    return documents_only(found.where("lang_pred <> 'und' AND score >= 0.5"))
+    return documents_only(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("bits_per_symbol") <= model.chance)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,11 @@ class Model:
     escape: np.ndarray
     up: np.ndarray
 
+    @property
+    def chance(self) -> float:
+        """Bits a symbol if all learned symbols were equally likely: a text that takes more is in no learned language."""
+        return float(np.log2(self.size))
+
     def code_lengths(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of every row under every language, and its number of symbols."""
         sym, (first, last) = fold(raw, start, end)

@@ -3,10 +3,12 @@
 import re
 
 import corpus_pipeline as cp
+from tallyforge.llm import langid
 from tallyforge.llm.common import DOCUMENT_COLUMNS
 from tests.llm.test_neardup import roots
 
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_stages(spark):
@@ -31,3 +33,44 @@ def test_stages(spark):
     assert {r.doc_id for r in by["near_duplicates"](spark, docs, SF).collect()} == want
     packed = cp.run(spark, SF).collect()
     assert packed and max(r.offset + r.length for r in packed) <= 2048
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(-1, "Это обычный русский текст о погоде и людях.", None), (-2, "這是一個中文句子", None), (-3, "12345 - 678", "en"), (-4, "", "en"), (-5, None, "en")]
+    more = docs.select(*DOCUMENT_COLUMNS).unionByName(spark.createDataFrame([(i, t, y, None, None) for i, t, y in odd], SCHEMA).select(*DOCUMENT_COLUMNS))
+    kept = [r.doc_id for r in cp.language_stage(spark, more, SF).collect()]
+    assert not set(kept) & {-1, -2, -3, -4, -5}
+    assert len(kept) >= 0.98 * docs.where("text rlike '[a-z]'").count()
+
+
+def test_language_stage_without_languages_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 34", None, "a", 5), (3, None, None, None, None), (None, "слово", None, "b", 5)], SCHEMA)
+    assert langid.fit(docs) is None
+    assert sorted(r.text for r in cp.language_stage(spark, docs, SF).collect()) == ["some words", "слово"]
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null ids, texts and languages, repeated rows, a very long text and columns whose names the stages use themselves."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL AND n_chars > 200")
+    rows = [tuple(r) for r in plain.select(*DOCUMENT_COLUMNS).orderBy("doc_id").limit(40).collect()]
+    marked = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    clean = [r[1] for r in rows if r[0] not in marked and r[2] == "en"]
+    long = " ".join(f"{t} {k}" for k in range(15) for t in clean[:20])
+    odd = [(9001, None, "en", None, None), (9002, "", "en", "s", 0), (9003, " \n\t", None, "s", 3), (None, clean[0], None, None, None), (9004, long, "en", "s", len(long)), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    clash = docs.selectExpr("*", "1 AS score", "'x' AS band", "2 AS component_id", "3 AS predicted", "4 AS lang_pred", "'y' AS findings", "5 AS sequence_id", "6 AS print")
+    clash.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = cp.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert 9004 in ids and None in ids and not ids & {9001, 9002, 9003}
+    pieces = sorted((r.start, r.length, r.doc_tokens) for r in out if r.doc_id == 9004)
+    assert [s for s, _, _ in pieces] == [sum(n for _, n, _ in pieces[:k]) for k in range(len(pieces))]
+    assert sum(n for _, n, _ in pieces) == pieces[0][2]
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
