@@ -37,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         return documents_only(docs.where(docs.text.rlike(r"\p{L}")))
     found = langid.identify(documents_only(docs), model, keep=DOCUMENT_COLUMNS)
-    return documents_only(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("bits_per_symbol") <= model.chance)))
+    return documents_only(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("bits_per_symbol") <= langid.CHANCE)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from tallyforge.llm.common import byte_rows, keep_fraction, map_batches
 ORDER = 3
 #: Symbols: 0 any ASCII byte that is no letter (runs count once), 1-26 letters without case, 27-154 the bytes from 128.
 SYMBOLS = 155
+#: Bits a symbol if all were equally likely: a text that takes more is in no learned language.
+CHANCE = float(np.log2(SYMBOLS))
 _FOLD = np.zeros(256, np.uint8)
 for _i in range(26):
     _FOLD[65 + _i] = _FOLD[97 + _i] = 1 + _i
@@ -63,11 +65,6 @@ class Model:
     escape: np.ndarray
     up: np.ndarray
 
-    @property
-    def chance(self) -> float:
-        """Bits a symbol if all learned symbols were equally likely: a text that takes more is in no learned language."""
-        return float(np.log2(self.size))
-
     def code_lengths(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of every row under every language, and its number of symbols."""
         sym, (first, last) = fold(raw, start, end)
