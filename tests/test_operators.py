@@ -3,7 +3,10 @@
 import difflib
 import itertools
 import random
+import subprocess
+import sys
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -281,6 +284,30 @@ def test_prefix_sums(spark):
         assert got[k] == (run, total)
 
 
+def test_prefix_sums_of_groups(spark):
+    rows = spark.range(60).groupBy((F.col("id") % 5).alias("input_order")).agg(F.count("*").alias("n_frames"))
+    got = {r.input_order: (r.upto, r.total) for r in prefix_sums(rows, "input_order", "n_frames").collect()}
+    assert got == {k: (12 * (k + 1), 60) for k in range(5)}
+    plan = src.workflow_plan(rows.withColumns({"fps": F.lit(4), "parallel": F.col("input_order") % 2 == 1}))
+    assert sorted((r.number, r.input_order, r.length_s) for r in plan.collect()) == [(1, 1, 3.0), (2, 3, 3.0), (3, 0, 3.0), (4, 2, 3.0), (5, 4, 3.0)]
+    assert prefix_sums(rows.where("input_order > 9"), "input_order", "n_frames").collect() == []
+
+
+NEW_PROCESS = """
+from pyspark.sql import functions as F
+from tallyforge.operators.prefix import prefix_sums
+from tallyforge.session import local_session
+
+rows = local_session(2).range(5).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("v")).groupBy("k").agg(F.sum("v").alias("v"))
+assert sorted((r.k, r.upto, r.total) for r in prefix_sums(rows, "k", "v").collect()) == [(k, k + 1, 5) for k in range(5)]
+"""
+
+
+def test_prefix_sums_of_first_attributes():
+    """Groups by the second attribute of a process: there the optimizer moved their ranges to where the order is unknown."""
+    assert subprocess.run([sys.executable, "-c", NEW_PROCESS], cwd=Path(__file__).parents[1], timeout=300).returncode == 0
+
+
 def test_file_sources(spark, tmp_path):
     for p in ("a/x one.MP4", "a/exclude/y.mp4", "b.mkv", "c.txt"):
         f = tmp_path / "in" / p
