@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,29 @@ def _finish(h: np.ndarray, size: int | np.ndarray) -> np.ndarray:
 
 def _hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of whole words, equal to those of the same characters inside a longer one."""
-    power, _ = _powers(max(map(len, words)))
-    total = [int(((np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)) * power[: len(w)]).sum(dtype=np.uint64)) for w in words]
-    return _finish(np.array(total, np.uint64), np.array([len(w) for w in words]))
+    size = np.array([len(w) for w in words])
+    inside = np.arange(size.max()) < size[:, None]
+    raw = np.zeros(inside.shape, np.uint64)
+    raw[inside] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4") + np.uint64(1)
+    return _finish((raw * _powers(size.max())[0]).sum(1, dtype=np.uint64), size)
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The values flat[first : first + count] of all runs, one after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((first - ends + count).astype(kind), count)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
+
+
+class _Rows(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = out = len(self)
+        return out
 
 
 #: Parts of a unit of log-probability, and a score below all others.
@@ -89,18 +110,26 @@ class Lattice:
             raise ValueError("a piece crosses the beginning of a word: this model's texts cannot be segmented word by word")
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if m.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.byte_score = round((min(s for s in scores.values() if s > -1e8) - 10) * SCALE)
+        self.spelt, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt])
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
         self.most = most
-        self.row: dict[str, int] = {}
-        self.best_ids: list[bytes] = []
-        self.best_score, self.second_gap = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._forget()
         self.ways: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
         keys = _hashes([p for p in self.known])
         order = np.argsort(keys)
         self.hash = keys[order]
         self.hash_id = np.array([self.known[p][0] for p in self.known])[order]
         self.hash_score = np.array([self.known[p][1] for p in self.known])[order]
+        self.seen = np.zeros(1 << 20, bool)  # the first 20 bits of all hashes: most substrings are no pieces
+        self.seen[keys >> np.uint64(44)] = True
+
+    def _forget(self) -> None:
+        """No words: their rows, and by row the best score, the cost of the second choice and where the best ids are."""
+        self.row = _Rows()
+        self.ids = np.zeros(0, "<i4")
+        self.best_score, self.second_gap, self.ids_at, self.ids_count = (np.zeros(0, np.int64) for _ in range(4))
 
     def edges(self, word: str, mark: str = "") -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """By end node: (start node, score, ids). A character without a piece of its own is spelt in bytes."""
@@ -141,73 +170,104 @@ class Lattice:
         return out
 
     def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Best score, cost of the second choice (beyond -NONE / 2 if there is none) and ids of the best of each word, for words of like length."""
-        n, size, wide = len(words), np.array([len(w) for w in words]), self.longest
-        most = int(size.max())
+        """Best score, cost of the second choice (beyond -NONE / 2 if there is none) and ids of the best of each word, for words in order of length."""
+        score, gap, ids, count = self._forward(words)
+        cut = [0, *np.cumsum(count).tolist()]
+        return score, gap, [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """forward, with the ids of all words one after the other, and their numbers.
+
+        Tables have a row per node and a column per word. At a node only the columns of words that reach it are worked on: scores
+        beyond a word's end would add up NONE until they overflow.
+        """
+        n, size = len(words), np.array([len(w) for w in words])
+        most = int(size[-1])
+        wide = min(self.longest, most)
         raw = np.zeros((n, most), np.uint64)
         raw[np.arange(most) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        raw = np.ascontiguousarray(raw.T)
         power, back = _powers(most + 1)
-        total = np.zeros((n, most + 1), np.uint64)
-        np.cumsum((raw + np.uint64(1)) * power[:most], axis=1, out=total[:, 1:])
-        edge = np.full((n, most + 1, wide + 1), NONE, np.int64)
-        piece = np.full((n, most + 1, wide + 1), -1, np.int64)
-        for k in range(1, min(wide, most) + 1):
-            key = _finish((total[:, k:] - total[:, :-k]) * back[: most + 1 - k], k)
-            at = np.minimum(np.searchsorted(self.hash, key), len(self.hash) - 1)
-            hit = (self.hash[at] == key) & (np.arange(k, most + 1) <= size[:, None])
-            edge[:, k:, k] = np.where(hit, self.hash_score[at], NONE)
-            piece[:, k:, k] = np.where(hit, self.hash_id[at], -1)
-        spelt = (edge[:, 1:, 1] == NONE) & (np.arange(1, most + 1) <= size[:, None])
-        edge[:, 1:, 1][spelt] = (self.byte_score * (1 + (raw > 0x7F) + (raw > 0x7FF) + (raw > 0xFFFF)))[spelt]
-        ahead, came = np.full((n, most + 1), NONE, np.int64), np.zeros((n, most + 1), np.int64)
-        ahead[:, 0] = 0
+        total = np.zeros((most + 1, n), np.uint64)
+        np.cumsum((raw + np.uint64(1)) * power[:most, None], axis=0, out=total[1:])
+        edge = np.full((most + 1, wide + 1, n), NONE, np.int64)
+        for k in range(1, wide + 1):
+            key = _finish((total[k:] - total[:-k]) * back[: most + 1 - k, None], k).ravel()
+            maybe = np.flatnonzero(self.seen[key >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.hash, key[maybe]), len(self.hash) - 1)
+            hit = self.hash[at] == key[maybe]
+            end, word = np.divmod(maybe[hit], n)
+            edge[end + k, k, word] = self.hash_score[at[hit]]
+        spelt = edge[1:, 1] == NONE
+        edge[1:, 1][spelt] = self.byte_score * (1 + (raw[spelt] > 0x7F) + (raw[spelt] > 0x7FF) + (raw[spelt] > 0xFFFF))
+        first = np.searchsorted(size, np.arange(most + 1)).tolist()
+        ahead, came = np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
         for end in range(1, most + 1):
-            upto = min(wide, end)
-            ways = ahead[:, end - upto : end][:, ::-1] + edge[:, end, 1 : upto + 1]
-            came[:, end] = ways.argmax(1) + 1
-            ahead[:, end] = ways[np.arange(n), came[:, end] - 1]
-        behind = np.full((n, most + 1), NONE, np.int64)
-        behind[np.arange(n), size] = 0
-        second = np.full(n, 2 * NONE, np.int64)
-        on = np.zeros((n, most + 1), bool)
+            upto, live = min(wide, end), first[end]
+            ways = ahead[end - upto : end, live:][::-1] + edge[end, 1 : upto + 1, live:]
+            came[end, live:] = ways.argmax(0) + 1
+            ahead[end, live:] = ways.max(0)
+        score = ahead[size, np.arange(n)]
+        on = np.zeros((most + 1, n), bool)
         at = size.copy()
-        parts: list[list[int]] = [[] for _ in range(n)]
-        while (live := np.flatnonzero(at > 0)).size:
-            on[live, at[live]] = True
-            took = came[live, at[live]]
-            for w, i, end in zip(live.tolist(), piece[live, at[live], took].tolist(), at[live].tolist()):
-                if i >= 0:
-                    parts[w].append(i)
-                else:
-                    parts[w].extend(self.byte[b] for b in reversed(words[w][end - 1].encode()))
-            at[live] -= took
+        live = np.arange(n)
+        while live.size:
+            on[at[live], live] = True
+            at[live] -= came[at[live], live]
+            live = live[at[live] > 0]
+        behind = np.full((most + 1, n), NONE, np.int64)
+        behind[size, np.arange(n)] = 0
+        second = np.full(n, 2 * NONE, np.int64)
         for end in range(most, 0, -1):
-            upto = min(wide, end)
-            ways = edge[:, end, 1 : upto + 1] + behind[:, end, None]
-            behind[:, end - upto : end] = np.maximum(behind[:, end - upto : end], ways[:, ::-1])
-            through = ways + ahead[:, end - upto : end][:, ::-1]
-            rows = np.flatnonzero(on[:, end])
-            through[rows, came[rows, end] - 1] = 2 * NONE
-            second = np.maximum(second, through.max(1))
-        score = ahead[np.arange(n), size]
-        return score, score - second, [np.array(x[::-1], "<i4").tobytes() for x in parts]
-
-    def learn(self, words: list[str]) -> None:
-        """Keep the best segmentation of new words; beyond `most` words all are forgotten first."""
-        if len(self.row) + len(words) > self.most and self.row:
-            self.row, self.best_ids, self.best_score, self.second_gap = {}, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            self.ways = {}
-        words = sorted(words, key=len)
+            upto, live = min(wide, end), first[end]
+            ways = edge[end, 1 : upto + 1, live:] + behind[end, live:]
+            before = behind[end - upto : end, live:]
+            np.maximum(before, ways[::-1], out=before)
+            ways += ahead[end - upto : end, live:][::-1]
+            cols = np.flatnonzero(on[end, live:])
+            ways[came[end, live + cols] - 1, cols] = 2 * NONE
+            np.maximum(second[live:], ways.max(0), out=second[live:])
+        return score, score - second, *self._spell(words, total, back, came, on)
+
+    def _spell(self, words: list[str], total: np.ndarray, back: np.ndarray, came: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids along the best paths, and their number by word: `on` has the paths' nodes, `came` the lengths of the pieces that end there."""
+        word, end = np.nonzero(on.T)
+        k = came[end, word]
+        key = _finish((total[end, word] - total[end - k, word]) * back[end - k], k)
+        at = np.minimum(np.searchsorted(self.hash, key), len(self.hash) - 1)
+        ids, count = self.hash_id[at].astype("<i4"), np.ones(len(at), np.int64)
+        spelt = np.flatnonzero(self.hash[at] != key)
+        chars = [words[w][e - 1].encode() for w, e in zip(word[spelt].tolist(), end[spelt].tolist())]
+        count[spelt] = [len(c) for c in chars]
+        start = np.cumsum(count) - count
+        ids = np.repeat(ids, count)
+        for s, c in zip(start[spelt].tolist(), chars):
+            ids[s : s + len(c)] = [self.byte[b] for b in c]
+        return ids, np.bincount(word, count, len(words)).astype(np.int64)
+
+    def learn(self) -> None:
+        """Keep the best segmentation of the words that got a row since the last call."""
+        known = len(self.best_score)
+        if known == len(self.row):
+            return
+        words = list(islice(self.row, known, None))
+        order = sorted(range(len(words)), key=[len(w) for w in words].__getitem__)
+        words = [words[i] for i in order]
+        found = []
         at = 0
         while at < len(words):
             upto = at + 1  # about 1.5 million cells at a time
             while upto < len(words) and (upto + 1 - at) * len(words[upto]) <= 100_000:
                 upto += 1
-            score, gap, ids = self.forward(words[at:upto])
-            self.row.update(zip(words[at:upto], range(len(self.best_ids), len(self.best_ids) + upto - at)))
-            self.best_ids += ids
-            self.best_score, self.second_gap = np.concatenate([self.best_score, score]), np.concatenate([self.second_gap, gap])
+            found.append(self._forward(words[at:upto]))
             at = upto
+        score, gap, ids, count = map(np.concatenate, zip(*found))
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        first = np.cumsum(count) - count + len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        self.best_score, self.second_gap = np.concatenate([self.best_score, score[back]]), np.concatenate([self.second_gap, gap[back]])
+        self.ids_at, self.ids_count = np.concatenate([self.ids_at, first[back]]), np.concatenate([self.ids_count, count[back]])
 
     def _choices(self, word: str, n: int, mark: str = "") -> list[tuple[int, bytes]]:
         """search, kept for words of usual length."""
@@ -219,9 +279,9 @@ class Lattice:
             self.ways[word, n] = self.search(word, n)
         return self.ways[word, n]
 
-    def _chain(self, words: list[str], n: int, total: int, gaps: np.ndarray, best: list[bytes], mark: str = "") -> list[tuple[float, bytes]]:
-        """The n best (score, ids) of a text from its words' best ids, their scores' sum and the costs of their second choices."""
-        out = [(total / SCALE, b"".join(best))]
+    def _chain(self, words: list[str], n: int, total: int, gaps: np.ndarray, best: bytes, ends: np.ndarray, mark: str = "") -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of a text from its words' scores' sum, the costs of their second choices, the best ids and where each word's end."""
+        out = [(total / SCALE, best)]
         if n == 1:
             return out
         ways: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
@@ -230,28 +290,36 @@ class Lattice:
             more = ways + [(cost + top - s, (*picks, (k, ids))) for cost, picks in ways for s, ids in others]
             ways = heapq.nsmallest(n, more, key=lambda w: w[0])
         for cost, picks in ways[1:]:
-            own = list(best)
+            parts, at = [], 0
             for k, ids in picks:
-                own[k] = ids
-            out.append(((total - cost) / SCALE, b"".join(own)))
+                parts += best[at : 4 * int(ends[k - 1]) if k else 0], ids
+                at = 4 * int(ends[k])
+            out.append(((total - cost) / SCALE, b"".join([*parts, best[at:]])))
         return out
 
     def encode_batch(self, batch: list[str], n: int = 1) -> list[list[tuple[float, bytes]]]:
-        """Per text its n best segmentations, best first: (score, ids as 32-bit integers). An empty text has the empty one."""
+        """Per text its n best segmentations, best first: (score, ids as 32-bit integers). An empty text has the empty one.
+
+        Words are kept for the next batches; where there are more than `most`, all are forgotten before the next one.
+        """
+        if len(self.row) > self.most:
+            self._forget()
         marked = [self._marked(t) for t in batch]
         split = [[] if m or not t else _WORD.findall(SPACE + t.replace(" ", SPACE)) for t, m in zip(batch, marked)]
-        new = {w for words in split for w in words if w not in self.row}
-        if len(self.row) + len(new) > self.most:
-            new = {w for words in split for w in words}
-        self.learn(sorted(new))
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        self.learn()
+        score, gaps, count = self.best_score[rows], self.second_gap[rows], self.ids_count[rows]
+        ids, ends = _runs(self.ids, self.ids_at[rows], count), np.cumsum(count)
         out = []
+        at = before = 0
         for t, words, m in zip(batch, split, marked):
             if m:
                 out.append(self._spelt_out(t, n))
                 continue
-            rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-            best = [self.best_ids[r] for r in rows.tolist()]
-            out.append(self._chain(words, n, int(self.best_score[rows].sum()), self.second_gap[rows], best))
+            own = slice(at, at := at + len(words))
+            upto = int(ends[at - 1]) if at else 0
+            out.append(self._chain(words, n, int(score[own].sum()), gaps[own], ids[before:upto].tobytes(), ends[own] - before))
+            before = upto
         return out
 
     def _marked(self, text: str) -> bool:
@@ -263,15 +331,17 @@ class Lattice:
         words = _WORD.findall(SPACE + text.replace(SPACE, mark).replace(" ", SPACE))
         ways = [self.search(w, min(n, 2), mark) for w in words]
         gaps = np.array([w[0][0] - w[1][0] if len(w) > 1 else -NONE for w in ways], np.int64)
-        return self._chain(words, n, sum(w[0][0] for w in ways), gaps, [w[0][1] for w in ways], mark)
+        ends = np.cumsum([len(w[0][1]) // 4 for w in ways])
+        return self._chain(words, n, sum(w[0][0] for w in ways), gaps, b"".join(w[0][1] for w in ways), ends, mark)
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The n best segmentations of one text as (score, ids), best first."""
         return [(s, np.frombuffer(raw, "<i4").tolist()) for s, raw in self.encode_batch([text], n)[0]]
 
-    def decode(self, ids: Sequence[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of a segmentation; bytes are joined before they are read as UTF-8."""
-        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        ids = np.asarray(ids, np.int64)
+        return _runs(self.spelt, self.spelt_at[ids], self.spelt_size[ids]).tobytes().decode("utf-8", "replace")[1:]
 
 
 def segment(docs: DataFrame, model: str, n: int = 3, zipf: bool = True, with_ids: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -291,7 +361,7 @@ def segment(docs: DataFrame, model: str, n: int = 3, zipf: bool = True, with_ids
         for b in batches:
             own = texts(b, "__text")
             best = lattice.encode_batch(own, n)
-            exact = [lattice.decode(np.frombuffer(ways[0][1], "<i4").tolist()) == t for ways, t in zip(best, own)]
+            exact = [lattice.decode(np.frombuffer(ways[0][1], "<i4")) == t for ways, t in zip(best, own)]
             more = [
                 pa.array([[s for s, _ in ways] for ways in best], pa.list_(pa.float64())),
                 pa.array([[len(raw) // 4 for _, raw in ways] for ways in best], pa.list_(pa.int32())),

@@ -1,5 +1,6 @@
 """N-best segmentation against all segmentations, and exact round trips."""
 
+import random
 import time
 import zlib
 
@@ -66,6 +67,36 @@ def test_batches_keep_results():
     assert [small.encode_batch([t], 3)[0] for t in batch] == L.encode_batch(batch, 3)
 
 
+def test_words_of_unlike_lengths():
+    """A short word keeps its second choice beside one that is hundreds of letters longer."""
+    words = sorted(["▁short", "▁thing", "▁é", "▁" + "ab" * 80, "▁" + "ab" * 1500], key=len)
+    score, gap, ids = L.forward(words)
+    for i, w in enumerate(words):
+        ways = L.search(w, 2)
+        assert (score[i], ids[i], gap[i]) == (*ways[0], ways[0][0] - ways[1][0])
+
+
+@given(st.lists(st.tuples(st.text(alphabet="thein é\n▁", max_size=30), st.integers(0, 400)), max_size=6), st.integers(1, 4))
+@settings(max_examples=60, deadline=None)
+def test_batches_as_by_search(parts, n):
+    batch = [text + " " + "ab" * long for text, long in parts]
+    assert Lattice(MODEL, most=30).encode_batch(batch, n) == [L._spelt_out(t, n) for t in batch]
+
+
+def test_new_words_cost_little():
+    """Some 36,000 new words, against a plain loop on the same core."""
+    draw = random.Random(1)
+    text = " ".join({"".join(draw.choice("aeinrstohdlu") for _ in range(draw.randrange(3, 12))) for _ in range(40_000)})
+
+    def took(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    plain, own = zip(*((took(lambda: sum(range(2_000_000))), took(lambda: lattice.encode(text, 3))) for lattice in [Lattice(MODEL) for _ in range(5)]))
+    assert min(own) < 9 * min(plain)
+
+
 @pytest.mark.parametrize("word", ["x" * 100_000, "thein" * 20_000, "".join(chr(97 + i * i % 26) for i in range(100_000))])
 def test_long_words(word):
     start = time.time()
